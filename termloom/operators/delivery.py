@@ -31,3 +31,22 @@ def latest_wide(df: DataFrame, key: str, order: str, keep: Column, *columns: str
     last = named.groupBy(key).agg(F.max(order).alias("_last"))
     wide = latest(named.where(keep), key, order, *dict.fromkeys([*columns, order]))
     return wide.join(last, key).where(F.col(order).eqNullSafe(F.col("_last"))).select(key, *columns)
+
+
+#: Keys delivered more than once that may be broadcast.
+BROADCAST_KEYS = 200_000
+
+
+def latest_sparse(df: DataFrame, key: str, order: str) -> DataFrame:
+    """As ``latest`` with all columns, for tables where few keys are delivered more than once.
+
+    Rows of other keys pass without a shuffle where the repeated keys are few
+    enough to broadcast (their number is counted first); else both joins shuffle.
+    """
+    named = df.where(F.col(key).isNotNull())
+    repeated = named.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    if repeated.count() <= BROADCAST_KEYS:
+        repeated = F.broadcast(repeated)
+    once = named.join(repeated, key, "left_anti")
+    again = latest(named.join(repeated, key, "left_semi"), key, order)
+    return once.unionByName(again.select(*once.columns))
