@@ -17,8 +17,9 @@ Case and visible marks stay.
 
 from __future__ import annotations
 
-import sys
+import itertools
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 # Letters that share their shape with a Latin letter, and that letter.
@@ -65,13 +66,17 @@ def expand(ch: str) -> str:
     return ch
 
 
+def code_points() -> Iterator[int]:
+    """Code points that may have a decomposition or be a mark: without ASCII, ideographs, syllables, surrogates and private use."""
+    blocks = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+    return itertools.chain.from_iterable(range(a, b) for a, b in blocks)
+
+
 @lru_cache(1)
 def table() -> dict[int, str]:
-    """Code points whose expansion differs from themselves (about 17,000, fixed by Unicode)."""
+    """Code points whose expansion differs from themselves (about 5,000, fixed by Unicode; Hangul syllables apart)."""
     out = {}
-    for cp in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
-            continue
+    for cp in code_points():
         ch = chr(cp)
         if (e := expand(ch)) != ch:
             out[cp] = e

@@ -9,7 +9,8 @@ itself.  Texts are canonicalised once however often they occur.
 
 from __future__ import annotations
 
-import sys
+import functools
+import operator
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ PLAIN = r"\n\x20-\x7e"
 
 @lru_cache(1)
 def _marks() -> list[int]:
-    return [cp for cp in range(0x80, sys.maxunicode + 1) if unicodedata.combining(chr(cp))]
+    return [cp for cp in chars.code_points() if unicodedata.combining(chr(cp))]
 
 
 @lru_cache(1)
@@ -49,8 +50,14 @@ def _units_pattern() -> str:
 def mapping(spark: SparkSession) -> DataFrame:
     """(cp, parts): what each code point becomes, with the combining class of every part."""
     rows = {cp: e for cp, e in chars.table().items()} | {cp: chr(cp) for cp in _marks() if cp not in chars.table()}
-    data = [(chr(cp), [(c, unicodedata.combining(c)) for c in e]) for cp, e in rows.items()]
-    return spark.createDataFrame(data, "cp string, parts array<struct<ch:string,ccc:int>>")
+    data = [(chr(cp), _parts(e)) for cp, e in rows.items()]
+    return spark.createDataFrame(data, "cp string, parts array<struct<ch:string,ccc:int,later:int>>")
+
+
+def _parts(expansion: str) -> list[tuple[str, int, int]]:
+    """Parts with their combining class and the number of base characters after them: marks keep to their own base."""
+    classes = [unicodedata.combining(c) for c in expansion]
+    return [(c, k, classes[i + 1 :].count(0)) for i, (c, k) in enumerate(zip(expansion, classes))]
 
 
 @F.pandas_udf(T.StringType())
@@ -78,8 +85,10 @@ def canonical_forms(texts: DataFrame, column: str = "text") -> DataFrame:
     units = rest.select("k1", "k2", F.posexplode(F.regexp_extract_all("t", F.lit(_units_pattern()), F.lit(0))).alias("u", "unit"))
     cps = units.select("k1", "k2", "u", F.posexplode(F.when(F.col("unit").rlike(f"^[{PLAIN}]+$"), F.array("unit")).otherwise(F.split("unit", ""))).alias("p", "cp"))
     mapped = cps.join(F.broadcast(mapping(texts.sparkSession)), "cp", "left")
-    parts = mapped.select("k1", "k2", "u", "p", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("cp").alias("ch"), F.lit(0).alias("ccc"))))).alias("s", "part"))
-    place = F.shiftleft(F.col("u").cast("long"), 40) + F.shiftleft(F.col("part.ccc").cast("long"), 32) + F.shiftleft(F.col("p").cast("long"), 8) + F.col("s")
+    parts = mapped.select("k1", "k2", "u", "p", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("cp").alias("ch"), F.lit(0).alias("ccc"), F.lit(0).alias("later"))))).alias("s", "part"))
+    # unit, base character within it, combining class, place
+    fields = ((F.col("u"), 40), (31 - F.col("part.later"), 35), (F.col("part.ccc"), 27), (F.col("p"), 8), (F.col("s"), 0))
+    place = functools.reduce(operator.add, [F.shiftleft(c.cast("long"), bits) for c, bits in fields])
     built = parts.groupBy("k1", "k2").agg(F.collect_list(F.struct(place.alias("at"), F.col("part.ch").alias("ch"))).alias("a"))
     form = F.array_join(F.transform(F.array_sort("a"), lambda x: x["ch"]), "")
     # a text of nothing but invisible characters leaves no part

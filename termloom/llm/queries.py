@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import lookalike, splitting
+from termloom.llm import lookalike, mixing, overlap, packing, spans, splitting
 
 
 def queries() -> dict:
     return {
         "p3_found": splitting.found,
         "p3_pieces": splitting.pieces,
+        "p4_found": overlap.found,
+        "p4_report": overlap.report,
         "p5_found": lookalike.disguised,
+        "p6_containers": packing.containers,
+        "p6_report": packing.report,
+        "p7_mixture": mixing.mixture,
+        "p7_shares": mixing.shares,
+        "p8_found": spans.found,
+        "p8_shares": spans.shares,
     }
 
 
