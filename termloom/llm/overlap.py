@@ -258,7 +258,8 @@ def cross_split_pairs(samples: DataFrame, concepts: DataFrame, shard: int = SHAR
     s = s.select("sample_id", (F.col("split") != "train").alias("ev"), "context", "mention", "concept")
     sizes = s.groupBy("concept").agg(F.count_if("ev").alias("ne"), F.count_if(~F.col("ev")).alias("nt")).where("ne > 0 and nt > 0")
     es, tb = F.ceil(F.col("ne") / shard).cast("int"), F.ceil(F.col("nt") / block).cast("int")
-    groups = parallelism(spark) * 2
+    # groups of a bounded number of records, however many there are
+    groups = max(parallelism(spark) * 2, samples.count() // (SHARD + BLOCK) * 2)
     plan = sizes.select("concept", es.alias("es"), tb.alias("tb"))
     hot = (F.col("es") > 1) | (F.col("tb") > 1)
     home = F.when(hot, F.pmod(F.xxhash64("concept"), F.lit(1 << 40)) + 1_000_000).otherwise(F.pmod(F.xxhash64("concept"), F.lit(groups)))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import lookalike, mixing, overlap, packing, spans, splitting
+from termloom.llm import canonical, lookalike, mixing, overlap, packing, sentences, spans, splitting
 
 
 def queries() -> dict:
     return {
+        "p1_found": canonical.found,
+        "p1_report": canonical.report,
+        "p2_found": sentences.found,
         "p3_found": splitting.found,
         "p3_pieces": splitting.pieces,
         "p4_found": overlap.found,
