@@ -42,7 +42,7 @@ def _before_end(lines: Column, end: str) -> tuple[Column, Column]:
 
 def _last_sentence(lines: Column, pattern: str) -> Column:
     found = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, pattern, 1))), lambda x: x != "")
-    return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise("")
+    return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(-1))).otherwise("")
 
 
 def parse_protocol(reply: ColumnOrName, dialect: str = "loose", repair: bool = True) -> Column:
@@ -71,8 +71,8 @@ def parse_protocol(reply: ColumnOrName, dialect: str = "loose", repair: bool = T
         p = fields(x)
         n = F.size(p)
         text = F.trim(F.array_join(F.slice(p, 1, F.greatest(n - 2, F.lit(0))), " " if loose else "\t"))
-        kind = F.lower(F.element_at(p, -1))
-        return F.struct(text.alias("hint_en"), polarity(F.element_at(p, -2)).alias("polarity"), F.when(kind == "", "other").otherwise(kind).alias("type"))
+        kind = F.lower(F.try_element_at(p, F.lit(-1)))
+        return F.struct(text.alias("hint_en"), polarity(F.try_element_at(p, F.lit(-2))).alias("polarity"), F.when(kind == "", "other").otherwise(kind).alias("type"))
 
     raw = F.filter(lines, is_hint)
     whole = F.filter(raw, lambda x: F.size(fields(x)) >= 3)
@@ -125,4 +125,4 @@ def bioes_spans(labels: Column) -> Column:
 
 def token_span(offsets: Column, i0: Column, i1: Column) -> Column:
     """struct(c0, c1): the characters from the first to the last token of a span."""
-    return F.struct(F.element_at(offsets, i0 + 1)["c0"].alias("c0"), F.element_at(offsets, i1 + 1)["c1"].alias("c1"))
+    return F.struct(F.try_element_at(offsets, i0 + 1)["c0"].alias("c0"), F.try_element_at(offsets, i1 + 1)["c1"].alias("c1"))

@@ -28,5 +28,5 @@ def cosine(a: Column, b: Column) -> Column:
 def mean_pool(vectors: Column, i0: Column, i1: Column) -> Column:
     """The mean of the vectors i0 to i1, inclusive."""
     part = F.slice(vectors, i0 + 1, i1 - i0 + 1)
-    width = F.size(F.element_at(part, 1))
-    return F.transform(F.sequence(F.lit(1), width), lambda d: F.aggregate(part, F.lit(0.0), lambda s, v: s + F.element_at(v, d)) / F.size(part))
+    width = F.size(F.try_element_at(part, F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), width), lambda d: F.aggregate(part, F.lit(0.0), lambda s, v: s + F.try_element_at(v, d)) / F.size(part))

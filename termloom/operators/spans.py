@@ -33,14 +33,14 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def token_range(offsets: Column, c0: Column, c1: Column) -> Column:
     """struct(i0, i1): the first and last token that a span overlaps; all tokens if there is none."""
     hit = F.filter(F.transform(offsets, lambda t, i: F.when(overlaps(t["c0"], t["c1"], c0, c1), i)), lambda x: x.isNotNull())
-    return F.when(F.size(hit) > 0, F.struct(F.get(hit, F.lit(0)).alias("i0"), F.element_at(hit, -1).alias("i1"))).otherwise(F.struct(F.lit(0).alias("i0"), (F.size(offsets) - 1).alias("i1")))
+    return F.when(F.size(hit) > 0, F.struct(F.get(hit, F.lit(0)).alias("i0"), F.try_element_at(hit, F.lit(-1)).alias("i1"))).otherwise(F.struct(F.lit(0).alias("i0"), (F.size(offsets) - 1).alias("i1")))
 
 
 def bioes_labels(offsets: Column, spans: Column, kind: str = "PHENO") -> Column:
     """One label for each token; a later span overwrites an earlier one."""
 
     def label(t: Column, i: Column) -> Column:
-        hit = F.element_at(F.filter(spans, lambda s: overlaps(t["c0"], t["c1"], s["c0"], s["c1"])), -1)
+        hit = F.try_element_at(F.filter(spans, lambda s: overlaps(t["c0"], t["c1"], s["c0"], s["c1"])), F.lit(-1))
         r = token_range(offsets, hit["c0"], hit["c1"])
         return F.when(hit.isNull(), "O").when(r["i0"] == r["i1"], f"S-{kind}").when(i == r["i0"], f"B-{kind}").when(i == r["i1"], f"E-{kind}").otherwise(f"I-{kind}")
 
@@ -54,9 +54,29 @@ def inclusive_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(0.0)
 
 
+#: Characters of a bucket of places; two spans can only overlap if they share a bucket.
+BUCKET = 256
+
+
+def overlap_join(a: DataFrame, b: DataFrame, doc: str, in_a: tuple[str, str], in_b: tuple[str, str]) -> DataFrame:
+    """Rows of two frames of one document whose half-open spans overlap.
+
+    The join is on document and bucket of places, so that a long document with
+    many spans does not pair them all; a pair is kept in its first bucket only.
+    """
+
+    def buckets(c: tuple[str, str]) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(c[0]) / BUCKET), F.floor((F.greatest(F.col(c[1]) - 1, F.col(c[0]))) / BUCKET)))
+
+    both = a.withColumn("_k", buckets(in_a)).join(b.withColumn("_k", buckets(in_b)), [doc, "_k"])
+    first = F.col("_k") == F.floor(F.greatest(F.col(in_a[0]), F.col(in_b[0])) / BUCKET)
+    return both.where(overlaps(F.col(in_a[0]), F.col(in_a[1]), F.col(in_b[0]), F.col(in_b[1])) & first).drop("_k")
+
+
 def best_overlap(gold: DataFrame, pred: DataFrame, doc: str, least: float = 0.5) -> DataFrame:
     """``gold`` (doc, g0, g1) with the predicted span (p0, p1) of the greatest overlap of at least ``least``, the first of equals; null if there is none."""
-    both = gold.join(pred, doc).withColumn("iou", F.round(inclusive_iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")), 6)).where(F.col("iou") >= least)
+    ends = lambda d, c: d.withColumn(f"_{c}", F.col(c) + 1)  # noqa: E731 - half-open for the join
+    both = overlap_join(ends(gold, "g1"), ends(pred, "p1"), doc, ("g0", "_g1"), ("p0", "_p1")).withColumn("iou", F.round(inclusive_iou(F.col("g0"), F.col("g1"), F.col("p0"), F.col("p1")), 6)).where(F.col("iou") >= least)
     w = Window.partitionBy(doc, "g0", "g1").orderBy(F.desc("iou"), "p0", "p1")
     best = both.withColumn("r", F.row_number().over(w)).where("r = 1").select(doc, "g0", "g1", "p0", "p1", "iou")
     return gold.select(doc, "g0", "g1").distinct().join(best, [doc, "g0", "g1"], "left")
