@@ -41,8 +41,10 @@ def bioes_labels(offsets: Column, spans: Column, kind: str = "PHENO") -> Column:
 
     def label(t: Column, i: Column) -> Column:
         hit = F.try_element_at(F.filter(spans, lambda s: overlaps(t["c0"], t["c1"], s["c0"], s["c1"])), F.lit(-1))
-        r = token_range(offsets, hit["c0"], hit["c1"])
-        return F.when(hit.isNull(), "O").when(r["i0"] == r["i1"], f"S-{kind}").when(i == r["i0"], f"B-{kind}").when(i == r["i1"], f"E-{kind}").otherwise(f"I-{kind}")
+        inside = lambda n: F.coalesce(overlaps(n["c0"], n["c1"], hit["c0"], hit["c1"]), F.lit(False))
+        # the tokens that a span overlaps are neighbours
+        before, after = inside(F.get(offsets, i - 1)), inside(F.get(offsets, i + 1))
+        return F.when(hit.isNull(), "O").when(before & after, f"I-{kind}").when(before, f"E-{kind}").when(after, f"B-{kind}").otherwise(f"S-{kind}")
 
     return F.when(F.size(F.coalesce(spans, F.expr("array()"))) > 0, F.transform(offsets, label)).otherwise(F.transform(offsets, lambda t: F.lit("O")))
 
