@@ -15,8 +15,8 @@ begin.
 
 from __future__ import annotations
 
+import random
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +30,7 @@ from termloom.session import parallelism, table
 
 #: Bound of the sample to train on: texts of each script, and their greatest length.
 TRAIN_TEXTS, TRAIN_LENGTH = 300, 6000
-EPOCHS = 12
+EPOCHS = 30
 
 # Abbreviations that never end a sentence, as written.
 NEVER_LAST = {
@@ -44,10 +44,13 @@ MAY_LAST = {"etc", "p.o", "q.d", "b.i.d", "t.i.d", "q.i.d", "i.v", "i.m", "s.c",
 SECOND = {"B": "z", "h": "d", "ex": "p", "ej": "p", "е": "т", "a": "u", "д": "т"}
 # Small words that continue a sentence.
 SMALL = {"and", "or", "but", "by", "at", "for", "with", "in", "on", "of", "to", "from", "as", "the", "a", "an", "than", "per", "after", "before", "during", "until", "while", "which", "who", "that", "because", "so", "yet", "since", "within", "under", "said", "wrote", "asked", "noted", "added", "und", "oder", "aber", "mit", "von", "et", "ou", "mais", "de", "y", "o", "pero", "и", "или", "но", "और", "या", "पर"}
+# German months and the words before an ordinal number.
+MONTHS = {"Januar", "Jänner", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"}
+BEFORE_ORDINAL = {"der", "dem", "den", "des", "die", "das", "am", "im", "vom", "zum", "zur", "beim", "seit", "bis", "ab"}
 # What continues a sentence after a closing quotation mark in scripts without case.
 AFTER_QUOTE = ("随后", "然后", "接着", "之后", "并", "而后", "后来", "说", "道", "と", "って", "という", "との", "및", "라고", "고 ", "และ", "และ", "और", "या", "تم", "ثم", "و")
 # Thai words that do not begin a sentence: units, counters, conjunctions and prepositions.
-NOT_FIRST = ("ซม", "มม", "มล", "มก", "กก", "กรัม", "วัน", "สัปดาห์", "เดือน", "ปี", "ครั้ง", "ตำแหน่ง", "ชั่วโมง", "นาที", "คน", "หลัง", "ก่อน", "และ", "แต่", "หรือ", "โดย", "ที่", "ใน", "จาก", "ต่อ", "เมื่อ", "จน", "เพราะ", "ซึ่ง", "ว่า", "มี", "ได้", "พบ", "วัด", "ขนาด", "มา", "ๆ")
+NOT_FIRST = ("ซม", "มม", "มล", "มก", "กก", "กรัม", "วัน", "สัปดาห์", "เดือน", "ปี", "ครั้ง", "ตำแหน่ง", "ชั่วโมง", "นาที", "คน", "หลัง", "ก่อน", "และ", "แต่", "หรือ", "โดย", "ที่", "ใน", "จาก", "ต่อ", "เมื่อ", "จน", "เพราะ", "ซึ่ง", "ว่า", "มี", "ได้", "พบ", "วัด", "ขนาด", "ๆ")
 
 NEVER_LAST, MAY_LAST, SMALL = ({chars.canonical(w) for w in words} for words in (NEVER_LAST, MAY_LAST, SMALL))
 SECOND = {chars.canonical(a): chars.canonical(b) for a, b in SECOND.items()}
@@ -87,10 +90,7 @@ def kind_of(ch: str) -> str:
     if ch.isdigit():
         return "digit"
     if ch.isalpha():
-        s = script(ch)
-        if s in ("latin", "cyrillic"):
-            return "upper" if ch.isupper() or ch.istitle() else "lower"
-        return s
+        return "upper" if ch.isupper() or ch.istitle() else "lower" if ch.islower() else script(ch)
     if ch in OPENERS:
         return "open"
     if ch in "-–—":
@@ -208,6 +208,8 @@ class Paragraph:
                 abbr = "may"
             elif len(token) == 1 and token.isupper():
                 abbr = "initial"
+            elif token.isdigit() and len(token) <= 2 and gap and (word in MONTHS or prior.lower() in BEFORE_ORDINAL):
+                abbr = "ordinal"
         first_line = line == self.a
         current = t[line:j]
         return {
@@ -217,7 +219,7 @@ class Paragraph:
             "abbr": abbr,
             "next": kind_of(t[i : i + 1]),
             "word": word,
-            "small": word.lower() in SMALL,
+            "small": word in SMALL,
             "short": len(re.split(rf"[{re.escape(TERMINATORS)}]\s", t[max(line, e - 60) : e])[-1].split()) <= 2,
             "foreign": bool(word) and script(rest[:1]) != "latin",
             "quote": "in" if self.quoted(i) and not any(a == i for a, _ in self.quotes) else "none" if not closing else "led" if introduced else "alone",
@@ -267,7 +269,7 @@ def teacher(c: dict, openers: frozenset) -> bool:
         return c["next"] in ("upper", "digit", "open") and c["gap"] != "none"
     if c["term"] in ("strong", "full"):
         return not (c["paren"] and c["next"] == "lower")
-    if c["abbr"] in ("never", "listmark", "initial"):
+    if c["abbr"] in ("never", "listmark", "initial", "ordinal"):
         return False
     if c["abbr"] == "may":
         if c["next"] == "lower" and c["foreign"]:
@@ -292,6 +294,10 @@ def features(c: dict) -> list[str]:
         f"g:{shape}|{c['short']:d}|{c['small']:d}|{c['foreign']:d}|{c['abbr']}",
         f"q:{c['quote']}|{c['next']}|{c['small']:d}|{c['after']:d}",
         f"l:{layout}|{c['gap']}|{c['next']}",
+        f"m:{c['gap'] == 'line':d}|{layout}|{c['next']}|{c['term'] != 'none':d}",
+        f"k:{c['term']}|{c['gap'] == 'none':d}|{c['abbr']}|{c['quote']}|{c['next']}|{c['small']:d}|{c['after']:d}|{c['foreign']:d}|{c['paren']:d}",
+        f"mark:{c['mark']:d}{c['item']:d}",
+        f"glue:{c['gap'] == 'none':d}|{c['term']}|{c['next']}|{len(c['token']) > 1:d}",
         f"t:{token}|{c['term']}",
         f"t2:{token}|{c['next']}",
         f"w:{c['word'].lower()[:6]}|{c['term']}",
@@ -370,8 +376,30 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def drills(n: int = 6000, seed: int = 5) -> list[dict]:
+    """Candidates of every kind, made up, so that kinds that a sample lacks are learned as well."""
+    rng = random.Random(seed)
+    choices = {
+        "gap": ("none", "space", "space", "line"), "term": ("none", "stop", "stop", "strong", "full", "dots"), "abbr": ("none", "none", "never", "may", "initial", "listmark", "ordinal"),
+        "next": ("upper", "upper", "lower", "digit", "open", "comma", "dash", "mark", "han", "kana", "arabic", "deva", "other"), "quote": ("none", "none", "none", "led", "alone"),
+    }
+    rare = ("small", "paren", "after", "item", "mark", "head", "colon", "short")
+    out = []
+    for _ in range(n):
+        c = {k: rng.choice(v) for k, v in choices.items()} | {k: rng.random() < 0.12 for k in rare}
+        if c["term"] != "stop":
+            c["abbr"] = "none"
+        if c["gap"] != "line":
+            c |= {"mark": False, "head": False, "colon": False}
+        c |= {"small": c["small"] and c["next"] == "lower", "foreign": c["next"] in ("han", "kana", "arabic", "deva") or rng.random() < 0.1}
+        if c["next"] in ("upper", "lower") and c["foreign"]:
+            c["small"] = False
+        out.append(c | {"token": rng.choice(("etc", "word")) if c["abbr"] == "may" else "word", "word": "", "spaced": False, "left": "", "right": "", "code": False})
+    return out
+
+
 def train(texts: list[str], epochs: int = EPOCHS) -> Model:
-    """An averaged structured perceptron on the teacher's labels."""
+    """An averaged structured perceptron on the teacher's labels of the texts and of the drills."""
     openers = Counter()
     tokens: dict[str, Counter] = {}
     for t in texts:
@@ -392,6 +420,8 @@ def train(texts: list[str], epochs: int = EPOCHS) -> Model:
             c = [(i, x) for i, x in p.candidates if x["quote"] != "in"]
             if c:
                 data.append((a, [i for i, _ in c], [features(x) for _, x in c], [teacher(x, known) for _, x in c]))
+    data += [(0, [40], [features(x)], [teacher(x, known)]) for x in drills()]
+    random.Random(1).shuffle(data)
     w: dict[str, float] = {}
     total: dict[str, float] = {}
     pw: dict[tuple, float] = {}
@@ -416,7 +446,7 @@ def train(texts: list[str], epochs: int = EPOCHS) -> Model:
                     before_g, before_y, prev = g, y, p
             n += 1
         if not wrong:
-            break
+            return Model(w, pw, learned)  # all labels are met: the weights as they are
     return Model({f: v - total[f] / n for f, v in w.items()}, {k: v - ptotal[k] / n for k, v in pw.items()}, learned)
 
 
