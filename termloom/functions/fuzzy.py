@@ -118,12 +118,13 @@ class KeyMatrix:
     def __init__(self, keys: list[str]):
         self.keys = keys
         self.lengths = np.array([len(k) for k in keys], dtype=np.int64)
-        self.width = int(self.lengths.max()) if keys else 0
-        self.codes = np.zeros((self.width, len(keys)), dtype=np.uint32)
+        width = int(self.lengths.max()) if keys else 0
+        codes = np.zeros((width, len(keys)), dtype=np.uint32)
         for j, k in enumerate(keys):
-            self.codes[: len(k), j] = np.frombuffer(k.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        self.letters, inverse = np.unique(self.codes, return_inverse=True)
-        self.inverse = inverse.reshape(self.codes.shape)
+            codes[: len(k), j] = np.frombuffer(k.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.letters, places = np.unique(codes, return_inverse=True)
+        #: by position, the number of each key's letter
+        self.places = places.reshape(codes.shape).astype(np.uint16 if len(self.letters) < 1 << 16 else np.uint32)
 
     def lcs(self, text: str) -> np.ndarray:
         if len(text) > 64:
@@ -134,7 +135,7 @@ class KeyMatrix:
         table = np.array([masks.get(int(c), 0) if c else 0 for c in self.letters], dtype=np.uint64)
         full = np.uint64((1 << len(text)) - 1)
         v = np.full(len(self.keys), full, dtype=np.uint64)
-        for row in self.inverse:
+        for row in self.places:
             u = v & table[row]
             v = ((v + u) | (v - u)) & full
         return len(text) - np.bitwise_count(v).astype(np.int64)
@@ -143,8 +144,10 @@ class KeyMatrix:
 class TokenSetScorer:
     """``token_set_ratio`` of one string with all keys, the same values as for each pair."""
 
+    #: Sets of shared words whose keys are kept ready.
+    KEPT = 4000
+
     def __init__(self, keys: list[str]):
-        self.keys = keys
         self.sets = [frozenset(k.split()) for k in keys]
         self.holders: dict[str, set[int]] = {}
         for j, s in enumerate(self.sets):
@@ -155,8 +158,8 @@ class TokenSetScorer:
 
     def scores(self, text: str) -> np.ndarray:
         x = frozenset(text.split())
-        if not x or not self.keys:
-            return np.zeros(len(self.keys))
+        if not x or not self.sets:
+            return np.zeros(len(self.sets))
         joined = " ".join(sorted(x))
         n = len(joined) + self.whole.lengths
         out = 200.0 * self.whole.lcs(joined) / np.maximum(n, 1)
@@ -165,26 +168,26 @@ class TokenSetScorer:
         for w in x:
             for j in self.holders.get(w, ()):
                 shared.setdefault(j, set()).add(w)
-        groups: dict[frozenset, list[int]] = {}
-        for j, ws in shared.items():
-            groups.setdefault(frozenset(ws), []).append(j)
-        for ws, members in groups.items():
-            at, rest = self._rest(ws, members)
+        # fewer shared words first: a key with more of them is written again by its own set
+        for ws in sorted({frozenset(s) for s in shared.values()}, key=len):
+            at, rest = self._rest(ws)
             both, only = " ".join(sorted(ws)), " ".join(sorted(x - ws))
+            if not only:
+                out[at] = 100.0
+                continue
             ny, nx = len(both) + 1 + rest.lengths, len(both) + 1 + len(only)
             s = 200.0 * (len(both) + 1 + rest.lcs(only)) / (nx + ny)
             s = np.maximum(s, np.maximum(200.0 * len(both) / (len(both) + nx), 200.0 * len(both) / (len(both) + ny)))
             s[rest.lengths == 0] = 100.0
-            out[at] = s if only else 100.0
+            out[at] = s
         return out
 
-    def _rest(self, ws: frozenset, members: list[int]) -> tuple[np.ndarray, KeyMatrix]:
-        """Keys of exactly these shared words; kept where the group is large and so likely to come again."""
-        at = np.array(sorted(members), dtype=np.int64)
-        known = self.rests.get(ws)
-        if known is not None and np.array_equal(known[0], at):
-            return known
-        made = (at, KeyMatrix([" ".join(sorted(self.sets[j] - ws)) for j in at]))
-        if len(at) > 200 and len(self.rests) < 64:
+    def _rest(self, ws: frozenset) -> tuple[np.ndarray, KeyMatrix]:
+        """All keys that have these words, and what else they have."""
+        if ws not in self.rests:
+            at = sorted(set.intersection(*(self.holders[w] for w in ws)))
+            made = (np.array(at, dtype=np.int64), KeyMatrix([" ".join(sorted(self.sets[j] - ws)) for j in at]))
+            if len(self.rests) >= self.KEPT:
+                return made
             self.rests[ws] = made
-        return made
+        return self.rests[ws]

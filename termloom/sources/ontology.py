@@ -6,15 +6,20 @@ children, all ids in the usual spelling.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import norm, norm_id
-from termloom.session import drop_path, fresh_path
+from termloom.session import drop_path, fresh_path, materialize
 
 STRINGS = "array<string>"
 #: Rounds of a graph walk; beyond it the graph has a cycle that the walk would never leave.
 DEEPEST = 64
+#: Edges that one task may walk; a larger graph is walked by the cluster, round by round.
+SMALL_GRAPH = 100_000
 
 
 def _ids(c: Column) -> Column:
@@ -101,29 +106,50 @@ def edges(n: DataFrame) -> DataFrame:
     return both.join(p, "parent").join(c, "child").select(F.col("p").alias("parent"), F.col("c").alias("child")).where("parent <> child").distinct()
 
 
+PAIRS = "ancestor string, descendant string, steps int"
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Breadth-first from every node of a small graph."""
+    below: dict[str, set[str]] = {}
+    for b in batches:
+        for p, c in zip(b["parent"], b["child"]):
+            below.setdefault(p, set()).add(c)
+    for start in sorted(below):
+        seen: dict[str, int] = {}
+        level, k = below[start], 1
+        while level and k < DEEPEST:
+            seen.update(dict.fromkeys(level, k))
+            level, k = {c for p in level for c in below.get(p, ())} - seen.keys(), k + 1
+        yield pd.DataFrame({"ancestor": start, "descendant": list(seen), "steps": list(seen.values())})
+
+
 def closure(e: DataFrame) -> DataFrame:
     """(ancestor, descendant, steps): all pairs that a path of one step or more joins, and the length of the shortest.
 
-    The frontier of each round is written out, so that plans do not grow; a pair
-    already known is not followed again, so that cycles end.
+    A graph of at most ``SMALL_GRAPH`` edges is walked by one task.  For a larger
+    one the frontier of each round is written out, so that plans do not grow.  A
+    pair already known is not followed again, so that cycles end.
     """
     spark = e.sparkSession
     path = fresh_path(spark, "edges")
     e.select("parent", "child").write.parquet(path)
     e = spark.read.schema("parent string, child string").parquet(path)
+    if e.count() <= SMALL_GRAPH:
+        return materialize(e.coalesce(1).mapInPandas(_walk, PAIRS), "closure")
     at = fresh_path(spark, "closure")
     frontier = e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("steps"))
     frontier.write.parquet(f"{at}/round=1")
     for k in range(2, DEEPEST):
-        known = spark.read.schema("ancestor string, descendant string, steps int").parquet(*[f"{at}/round={i}" for i in range(1, k)])
-        last = spark.read.schema("ancestor string, descendant string, steps int").parquet(f"{at}/round={k - 1}")
+        known = spark.read.schema(PAIRS).parquet(*[f"{at}/round={i}" for i in range(1, k)])
+        last = spark.read.schema(PAIRS).parquet(f"{at}/round={k - 1}")
         new = last.join(e, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant")).distinct()
         new = new.join(known.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").select("ancestor", "descendant", F.lit(k).alias("steps"))
         new.write.parquet(f"{at}/round={k}")
-        if spark.read.schema("ancestor string, descendant string, steps int").parquet(f"{at}/round={k}").isEmpty():
+        if spark.read.schema(PAIRS).parquet(f"{at}/round={k}").isEmpty():
             drop_path(spark, f"{at}/round={k}")
             break
-    return spark.read.schema("ancestor string, descendant string, steps int").parquet(*[f"{at}/round={i}" for i in range(1, k)])
+    return spark.read.schema(PAIRS).parquet(*[f"{at}/round={i}" for i in range(1, k)])
 
 
 def depths(n: DataFrame, pairs: DataFrame) -> DataFrame:

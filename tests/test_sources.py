@@ -43,10 +43,15 @@ def test_ontology_list(spark, tmp_path):
     assert sorted(((r["id"], r["name"], r["definition"]) for r in n.collect()), key=str) == [("HP:1", "L", "d"), ("HP:2", "P", None)]
 
 
-def test_cycle_ends(spark):
+def test_cycle_ends(spark, monkeypatch):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "parent string, child string")
     assert ontology.closure(e).count() == 9
     assert ontology.closure(e.limit(0)).count() == 0
+    small = sorted(map(tuple, ontology.closure(e.unionByName(e.selectExpr("child parent", "'d' child"))).collect()))
+    monkeypatch.setattr(ontology, "SMALL_GRAPH", -1)
+    assert ontology.closure(e).count() == 9
+    assert ontology.closure(e.limit(0)).count() == 0
+    assert sorted(map(tuple, ontology.closure(e.unionByName(e.selectExpr("child parent", "'d' child"))).collect())) == small
 
 
 def test_annotation_lines(spark):
