@@ -2,9 +2,11 @@
 
 Characters are tagged as the beginning of a unit or as inside one by a
 linear-chain model and Viterbi decoding.  A character can begin a unit only after
-a terminator, a line break or, in scripts without terminators, a space; all others
-are inside by definition, so that the chain needs to be decoded over those
-candidates only.  Empty lines always divide, the inside of a quotation never.
+a terminator, a line break with a heading or list item about it or, in scripts
+without terminators, a space; all others are inside by definition, so that the
+chain needs to be decoded over those candidates only.  Empty lines always divide;
+the inside of a quotation and what follows a title or another abbreviation that
+never ends a sentence are never divided.
 
 The model is a structured perceptron, averaged, trained when the query runs on a
 bounded sample of the texts (``TRAIN_TEXTS`` for each script).  Its labels come
@@ -60,7 +62,7 @@ FULL_WIDTH = "。！？｡"
 CLOSERS = "\"'”’»›」』）)]}“"
 OPENERS = "\"'“‘„«‹「『（([{¿¡"
 PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "‹": "›", "„": "“”", '"': '"'}
-MARK = re.compile(r"(?:[•·▪◦‣*–—-]|\(?\d{1,3}[.)、]|\(?[A-Za-z][.)])[^\S\n]+(?=\S)")
+MARK = re.compile(rf"(?:[•·▪◦‣*–—-]|\(?\d{{1,3}}[.)、]|\(?[A-Za-z]\))[^\S\n]+(?!(?:{'|'.join(sorted(MONTHS))})\b)(?=\S)")
 END_MARKS = re.compile(rf"[{re.escape(TERMINATORS)}]+[{re.escape(CLOSERS)}]*")
 BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 
@@ -110,7 +112,7 @@ class Paragraph:
     def __init__(self, text: str, a: int, b: int, learned: frozenset = frozenset()):
         self.text, self.a, self.b, self.learned = text, a, b, learned
         self.quotes = self._quotes()
-        self.candidates = [(i, self._look(i, j, e)) for i, j, e in self._places()]
+        self.candidates = [(i, c) for i, c in ((i, self._look(i, j, e)) for i, j, e in self._places()) if possible(c)]
 
     def _quotes(self) -> list[tuple[int, int]]:
         """Matched quotations (first and last mark)."""
@@ -180,6 +182,9 @@ class Paragraph:
         while k > self.a and not t[k - 1].isspace():
             k -= 1
         token = clean(t[k:e]).lstrip("\"'“‘„«‹「『（([{¿¡-–—")
+        parts = re.split(r"[.!?…]", token)
+        if len(parts) > 1 and len(parts[-2]) > 2 and parts[-1][:1].isupper():
+            token = parts[-1]  # the space between two sentences is missing
         before = t[self.a : k].rstrip()
         prior = clean(before.split()[-1]).rstrip(".") if before else ""
         rest = t[i : i + 24]
@@ -212,6 +217,8 @@ class Paragraph:
                 abbr = "ordinal"
         first_line = line == self.a
         current = t[line:j]
+        item, head, colon = bool(MARK.match(current.lstrip())), first_line and "\n" in gap and 0 < len(current.strip()) <= 28 and not re.search(r"[\d,.;]", current), "\n" in gap and current.rstrip()[-1:] in (":", "：")
+        marked = "\n" in gap and bool(MARK.match(t[i : i + 16])) and (not t[i].isdigit() or term != "none" or item or head or colon)
         return {
             "gap": "none" if not gap else "line" if "\n" in gap else "space",
             "term": term,
@@ -225,10 +232,10 @@ class Paragraph:
             "quote": "in" if self.quoted(i) and not any(a == i for a, _ in self.quotes) else "none" if not closing else "led" if introduced else "alone",
             "paren": any(c in ")）]" for c in ends[len(last) :]),
             "after": t[i : i + 6].startswith(AFTER_QUOTE),
-            "item": bool(MARK.match(current.lstrip())),
-            "mark": "line" in ("line" if "\n" in gap else "") and bool(MARK.match(t[i : i + 8])),
-            "head": first_line and "\n" in gap and 0 < len(current.strip()) <= 28 and not re.search(r"[\d,.;]", current),
-            "colon": "\n" in gap and current.rstrip()[-1:] in (":", "："),
+            "item": item,
+            "mark": marked,
+            "head": head,
+            "colon": colon,
             "spaced": script(t[i]) in SPACED,
             "left": re.sub(r"\d", "0", clean(t[max(self.a, j - 8) : j])).rstrip(".")[-4:],
             "code": bool(re.search(r"[A-Za-z]", t[k:j])),
@@ -236,10 +243,15 @@ class Paragraph:
         }
 
 
+def possible(c: dict) -> bool:
+    """Whether a unit can begin there at all: not inside a quotation, not after what never ends one, not at a plain line break."""
+    if c["quote"] == "in" or c["abbr"] in ("never", "listmark", "initial", "ordinal"):
+        return False
+    return c["term"] != "none" or c["spaced"] or c["mark"] or c["item"] or c["colon"] or c["head"]
+
+
 def teacher(c: dict, openers: frozenset) -> bool:
     """Whether a unit begins at a candidate, by the rules."""
-    if c["quote"] == "in":
-        return False
     if c["spaced"] and c["term"] in ("none", "stop") and c["gap"] != "none" and not c["mark"]:
         if c["gap"] == "line" and (c["item"] or c["colon"] or c["head"]):
             return True
@@ -269,8 +281,6 @@ def teacher(c: dict, openers: frozenset) -> bool:
         return c["next"] in ("upper", "digit", "open") and c["gap"] != "none"
     if c["term"] in ("strong", "full"):
         return not (c["paren"] and c["next"] == "lower")
-    if c["abbr"] in ("never", "listmark", "initial", "ordinal"):
-        return False
     if c["abbr"] == "may":
         if c["next"] == "lower" and c["foreign"]:
             return False
@@ -348,8 +358,8 @@ class Model:
         out = []
         for a, b in paragraphs(text):
             p = Paragraph(text, a, b, self.learned)
-            places = [i for i, c in p.candidates if c["quote"] != "in"]
-            emission = [sum(self.weights.get(f, 0.0) for f in features(c)) for _, c in p.candidates if c["quote"] != "in"]
+            places = [i for i, _ in p.candidates]
+            emission = [sum(self.weights.get(f, 0.0) for f in features(c)) for _, c in p.candidates]
             tags = decode(emission, places, a, self.pair)
             starts = [a, *(i for i, tag in zip(places, tags) if tag), b]
             for s, e in zip(starts, starts[1:]):
@@ -376,7 +386,7 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def drills(n: int = 6000, seed: int = 5) -> list[dict]:
+def drills(n: int = 9000, seed: int = 5) -> list[dict]:
     """Candidates of every kind, made up, so that kinds that a sample lacks are learned as well."""
     rng = random.Random(seed)
     choices = {
@@ -394,7 +404,10 @@ def drills(n: int = 6000, seed: int = 5) -> list[dict]:
         c |= {"small": c["small"] and c["next"] == "lower", "foreign": c["next"] in ("han", "kana", "arabic", "deva") or rng.random() < 0.1}
         if c["next"] in ("upper", "lower") and c["foreign"]:
             c["small"] = False
-        out.append(c | {"token": rng.choice(("etc", "word")) if c["abbr"] == "may" else "word", "word": "", "spaced": False, "left": "", "right": "", "code": False})
+        c["spaced"] = False
+        if not possible(c):
+            continue
+        out.append(c | {"token": rng.choice(("etc", "word")) if c["abbr"] == "may" else "word", "word": "", "left": "", "right": "", "code": False})
     return out
 
 
@@ -417,7 +430,7 @@ def train(texts: list[str], epochs: int = EPOCHS) -> Model:
     for t in texts:
         for a, b in paragraphs(t):
             p = Paragraph(t, a, b, learned)
-            c = [(i, x) for i, x in p.candidates if x["quote"] != "in"]
+            c = p.candidates
             if c:
                 data.append((a, [i for i, _ in c], [features(x) for _, x in c], [teacher(x, known) for _, x in c]))
     data += [(0, [40], [features(x)], [teacher(x, known)]) for x in drills()]
