@@ -15,6 +15,7 @@ shards, its training records into blocks, each shard meeting each block once.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -37,7 +38,7 @@ FEW = 8
 #: Part of a context's searches that must hit the same record for it to be compared.
 HITS = 0.1
 #: Evaluation records of a shard and training records of a block.
-SHARD, BLOCK = 6000, 18000
+SHARD, BLOCK = 20_000, 40_000
 
 WORD = re.compile(r"\w+")
 
@@ -153,12 +154,12 @@ def overlaps(evals: pd.DataFrame, trains: pd.DataFrame) -> list[tuple[int, int]]
 
     def prepared(rows: pd.DataFrame, grow: bool) -> tuple[list, list[list[int]]]:
         """Classes of equal concept and words; each class once, with its rows."""
-        classes: dict[tuple, int] = {}
+        classes: dict[bytes, int] = {}
         members: list[list[int]] = []
         kinds: list = []
         for i, (c, t) in enumerate(zip(rows["concept"], rows["context"])):
             w = words(t)
-            k = (c, *w)
+            k = hashlib.blake2b("\n".join([c, *w]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
             j = classes.setdefault(k, len(kinds))
             if j == len(kinds):
                 if grow:
@@ -259,7 +260,7 @@ def cross_split_pairs(samples: DataFrame, concepts: DataFrame, shard: int = SHAR
     sizes = s.groupBy("concept").agg(F.count_if("ev").alias("ne"), F.count_if(~F.col("ev")).alias("nt")).where("ne > 0 and nt > 0")
     es, tb = F.ceil(F.col("ne") / shard).cast("int"), F.ceil(F.col("nt") / block).cast("int")
     # groups of a bounded number of records, however many there are
-    groups = max(parallelism(spark) * 2, samples.count() // (SHARD + BLOCK) * 2)
+    groups = max(parallelism(spark) * 2, samples.count() // (SHARD + BLOCK) * 4)
     plan = sizes.select("concept", es.alias("es"), tb.alias("tb"))
     hot = (F.col("es") > 1) | (F.col("tb") > 1)
     home = F.when(hot, F.pmod(F.xxhash64("concept"), F.lit(1 << 40)) + 1_000_000).otherwise(F.pmod(F.xxhash64("concept"), F.lit(groups)))
