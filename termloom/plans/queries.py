@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.plans import q_ontology, q_retrieval, q_routing, q_text  # noqa: F401 - they register
+from termloom.plans import q_ontology, q_retrieval, q_routing, q_text, service  # noqa: F401 - they register
 from termloom.plans.registry import QUERIES, SQL
 
 

@@ -35,7 +35,9 @@ def metrics_json(metrics: DataFrame, by: str = "dataset") -> str:
     return json.dumps({r[by] if r[by] is not None else "_GLOBAL": {k: v for k, v in r.asDict().items() if k != by} for r in metrics.collect()}, sort_keys=True)
 
 
-def response(df: DataFrame, *columns: str, error: str | None = None) -> DataFrame:
-    """(status, body): each row as a JSON answer; 400 where ``error`` says why there is none."""
+def response(df: DataFrame, *columns: str, error: str | None = None, key: str | None = None) -> DataFrame:
+    """([key,] status, body): each row as a JSON answer; 400 where ``error`` says why there is none."""
     bad = F.col(error).isNotNull() if error else F.lit(False)
-    return df.select(F.when(bad, 400).otherwise(200).alias("status"), F.when(bad, F.to_json(F.struct(F.col(error).alias("error")))).otherwise(F.to_json(F.struct(*columns))).alias("body")) if error else df.select(F.lit(200).alias("status"), F.to_json(F.struct(*columns)).alias("body"))
+    failed = F.to_json(F.struct(F.col(error).alias("error"))) if error else F.lit(None).cast("string")
+    body = F.when(bad, failed).otherwise(F.to_json(F.struct(*columns)))
+    return df.select(*([key] if key else []), F.when(bad, 400).otherwise(200).alias("status"), body.alias("body"))

@@ -170,3 +170,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("vol").count() >= 3
+
+
+def test_service_answers(spark):
+    import json
+
+    from termloom.plans import service
+
+    n = ontology.nodes(spark.createDataFrame([("HP:1", "Big ears", None, None, None, None, None), ("HP:2", "Small feet", None, None, None, None, None)], "hpo_id string, hpo_name string, hpo_synonyms array<string>, hpo_def string, alt_ids array<string>, father array<string>, child array<string>"))
+    q = spark.createDataFrame([(1, "He has small feet. Big ears too.", 5.0, 20.0), (2, " ", 0.05, 0.2), (3, None, None, None)], "req_id long, src string, tau_low double, tau_high double")
+    h = spark.createDataFrame([(7, 1, 0, "feet", "small feet", "yes"), (8, 1, 1, "ears", "big ears", "absent"), (9, 1, 1, None, None, None)], "hint_id long, req_id long, sid int, mention string, hint_en string, polarity string")
+    c = spark.createDataFrame([(7, "HP:1", 0.5), (7, "HP:2", 0.49)], "hint_id long, concept_id string, score double")
+    found = service.entities(h, c, q, n)
+    r = {x["req_id"]: x for x in service.answers(q, found).collect()}
+    assert (r[1]["status"], r[2]["status"], r[3]["status"]) == (200, 400, 400)
+    body = json.loads(r[1]["body"])
+    assert body["meta"] == {"n_sentences": 2, "n_entities": 1, "n_llm": 1}
+    assert body["sentences"][0]["entities"][0]["final_id"] == "HP:2" and body["sentences"][1]["entities"] == []
+    assert service.computed_once(spark.createDataFrame([("a",), ("a",), (None,)], "t string"), "t", "u", F.upper).count() == 3
+    e = service.extracted(spark.createDataFrame([(1, "SENT_EN\tx\nHINT\tbig ears\tyes\tp\nEND"), (2, "?")], "req_id int, reply string"))
+    assert [(x["req_id"], x["hint_en"], x["polarity"]) for x in e.collect()] == [(1, "big ears", "present")]
