@@ -101,7 +101,8 @@ def _rounder(key: str, seed: int, level: int, last: bool):
         rng.shuffle(order)
         d = d.iloc[order].reset_index(drop=True)
         s = d["tokens"].astype(float).tolist()
-        p = flight(d["p"].tolist(), s, rng, LANDING if last else 2)
+        # what the last round has to land on comes from all blocks of the source
+        p = flight(d["p"].tolist(), s, rng, LANDING if last else max(2, LANDING // int(d["groups"].iloc[0])))
         return d.assign(p=landing(p, s) if last else p)[[key, "source", "tokens", "base", "p", "groups"]]
 
     return run
