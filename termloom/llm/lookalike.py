@@ -133,3 +133,12 @@ def disguised(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = forms.join(twice.select("f1", "f2"), ["f1", "f2"], "left_semi")
     found_s = req.join(cases.select(*key), key, "left_semi").select(F.lit("src").alias("field"), F.col("req_id").alias("row_id"))
     return found_m.unionByName(found_s)
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, row_id, form): the one form of every mention and request text; null texts have a null form."""
+    samples = latest(table(spark, sf_dir, "samples"), "sample_id", "loaded_at", "mention")
+    requests = latest(table(spark, sf_dir, "requests"), "req_id", "loaded_at", "src")
+    rows = samples.select(F.lit("mention").alias("field"), F.col("sample_id").alias("row_id"), F.col("mention").alias("text"))
+    rows = rows.unionByName(requests.select(F.lit("src").alias("field"), F.col("req_id").alias("row_id"), F.col("src").alias("text")))
+    return with_forms(rows, "text").select("field", "row_id", "form")

@@ -15,6 +15,7 @@ def queries() -> dict:
         "p4_found": overlap.found,
         "p4_report": overlap.report,
         "p5_found": lookalike.disguised,
+        "p5_forms": lookalike.forms,
         "p6_containers": packing.containers,
         "p6_report": packing.report,
         "p7_mixture": mixing.mixture,
