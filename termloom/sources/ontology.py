@@ -115,13 +115,19 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for p, c in zip(b["parent"], b["child"]):
             below.setdefault(p, set()).add(c)
+    columns = ["ancestor", "descendant", "steps"]
+    rows: list[tuple[str, str, int]] = []
     for start in sorted(below):
         seen: dict[str, int] = {}
         level, k = below[start], 1
         while level and k < DEEPEST:
             seen.update(dict.fromkeys(level, k))
             level, k = {c for p in level for c in below.get(p, ())} - seen.keys(), k + 1
-        yield pd.DataFrame({"ancestor": start, "descendant": list(seen), "steps": list(seen.values())})
+        rows.extend((start, c, n) for c, n in seen.items())
+        if len(rows) >= 50_000:
+            yield pd.DataFrame(rows, columns=columns)
+            rows = []
+    yield pd.DataFrame(rows, columns=columns)
 
 
 def closure(e: DataFrame) -> DataFrame:
