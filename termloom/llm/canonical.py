@@ -34,8 +34,8 @@ from termloom.session import materialize, parallelism, table
 SIMILARITY = 0.36
 SLIPS = 2
 CHUNK = 100_000
-#: A word that is near a listed one but this frequent, and at least this part as frequent as it, is a word of its own.
-OWN_COUNT, OWN_PART = 6, 0.08
+#: Phrases in which a word near listed ones must occur to be a word of its own where none of those is ever typed.
+OWN_PHRASES = 6
 UNMATCHED = "UNMATCHED"
 
 # Words that say nothing about the finding.
@@ -270,43 +270,46 @@ def _lexicon(words: tuple[str, ...]) -> Lexicon:
 def best_entries(values: DataFrame, entries: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(value, entry_id, jaccard, slips): the listed id of each distinct non-null value, ``UNMATCHED`` where none fits.
 
-    ``values`` has the column ``value``, one row for each time it was typed;
+    ``values`` has the column ``value``, in any number of copies;
     ``entries`` has ``entry_id`` and ``name``.  The best entry has the fewest
     slips, then the greatest similarity, then the least id.  Blank values fit none;
     null names and ids are no entries; an empty list leaves all unmatched.
     """
     spark = values.sparkSession
-    typed = materialize(values.where("value is not null").groupBy("value").agg(F.count("*").alias("n")), "typed-values")
+    typed = materialize(values.where("value is not null").select("value").distinct(), "typed-values")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ws = [read_words(x) for x in b["value"]]
-            yield pd.DataFrame({"value": b["value"], "n": b["n"], "words": ws, "phrase": [" ".join(w) for w in ws]})
+            yield pd.DataFrame({"value": b["value"], "words": ws, "phrase": [" ".join(w) for w in ws]})
 
-    read_values = typed.repartition(parallelism(spark)).mapInPandas(read, "value string, n long, words array<string>, phrase string")
+    read_values = typed.repartition(parallelism(spark)).mapInPandas(read, "value string, words array<string>, phrase string")
     read_values = materialize(read_values, "typed-words")
     # the reference list itself, chunk by chunk
     listed = entries.where("name is not null and entry_id is not null").select("entry_id", "name").distinct().orderBy("name", "entry_id").toPandas()
     listed["words"] = [read_words(x) for x in listed["name"]]
     vocabulary = tuple(sorted({w.rstrip(".") for ws in listed["words"] for w in ws}))
-    phrases = read_values.groupBy("phrase").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
+    phrases = read_values.groupBy("phrase").agg(F.first("words").alias("words"), F.count("*").alias("n"))
 
-    # words of their own: frequent ones near a listed word that is not much more frequent
-    each = phrases.select(F.explode("words").alias("w"), "n").groupBy(F.regexp_replace("w", r"\.$", "").alias("w")).agg(F.sum("n").alias("n"))
-    counts = {r["w"]: r["n"] for r in each.where(F.col("w").isin(list(vocabulary))).collect()} if vocabulary else {}
+    # words of their own: those near a listed word that are typed in more ways than it and in no fewer phrases; copies of a value say nothing
+    each = phrases.select(F.explode(F.array_distinct(F.transform("words", lambda w: F.regexp_replace(w, r"\.$", "")))).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    counts = {r["w"]: (r["n"], r["m"]) for r in each.where(F.col("w").isin(list(vocabulary))).collect()} if vocabulary else {}
 
     def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = _lexicon(vocabulary)
         for b in batches:
             rows = []
-            for w, n in zip(b["w"], b["n"]):
+            for w, n, m in zip(b["w"], b["n"], b["m"]):
                 if w not in lex.of and w not in DEGREE:
-                    d, near = lex.nearest(w)
-                    if near and n >= OWN_PART * max(counts.get(x, 0) for x in near):
+                    _, near = lex.nearest(w)
+                    if not near:
+                        continue
+                    values, among = (max(counts.get(x, (0, 0))[i] for x in near) for i in (0, 1))
+                    if n > values and m >= (among or OWN_PHRASES):
                         rows.append(w)
             yield pd.DataFrame({"w": pd.Series(rows, dtype=object)})
 
-    own = each.where(F.col("n") >= OWN_COUNT).repartition(parallelism(spark)).mapInPandas(own_words, "w string")
+    own = each.where("n > 1").repartition(parallelism(spark)).mapInPandas(own_words, "w string")
     marked = phrases.select("phrase", F.posexplode("words").alias("i", "w")).withColumn("w", F.regexp_replace("w", r"\.$", ""))
     marked = marked.join(own.distinct(), "w").groupBy("phrase").agg(F.collect_set("w").alias("own"))
 

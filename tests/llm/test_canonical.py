@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from termloom.llm import canonical as c
 
 NAMES = [("1", "Congenital atrophy of the vrelpecrus"), ("1", "Congenital vrelpecric atrophy"), ("2", "Hyperplasia of the glomasmum"), ("2", "Glomasmal hyperplasia"), ("3", "Atrophy of the vrelpecrus"), ("4", "High β-drimglozase"), ("5", "High α-drimglozase"), ("6", "Shaking glomasmum"), ("7", "Hypoplasia of the vrelpecrus")]
@@ -45,6 +47,18 @@ def test_frequent_word_is_its_own(spark):
     assert got == {"UNMATCHED"}
 
 
+@pytest.mark.parametrize("copies", [1, 6, 1000])
+def test_copies_of_a_slip_are_no_evidence(spark, copies):
+    slips = {"hyperplasia of the glomasnum": "2", "Shaking of the glomasnum": "6", "congenital atrofy of the vrelpecrus": "1"}
+    right = ["hyperplasia of the glomasmum", "shaking glomasmum", "glomasmum, shaking", "atrophy of the vrelpecrus"]
+    values = spark.createDataFrame([(v,) for v in slips for _ in range(copies)] + [(v,) for v in right], "value string")
+    names = spark.createDataFrame(NAMES, "entry_id string, name string")
+    got = {r["value"]: r["entry_id"] for r in c.best_entries(values, names).collect()}
+    assert {v: got[v] for v in slips} == slips
+    alone = values.where("value like 'hyper%snum'").unionAll(values.selectExpr("upper(value)").where("value like 'hyper%snum'"))
+    assert {r["entry_id"] for r in c.best_entries(alone, names).collect()} == {"2"}
+
+
 def test_chunks(spark, monkeypatch):
     monkeypatch.setattr(c, "CHUNK", 2)
     values = spark.createDataFrame([(v,) for v in CASES], "value string")
