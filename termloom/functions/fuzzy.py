@@ -191,3 +191,124 @@ class TokenSetScorer:
                 return made
             self.rests[ws] = made
         return self.rests[ws]
+
+
+class PartialScorer:
+    """``partial_ratio`` of one string with all keys, the same values as for each pair.
+
+    All windows are read from one pass over the grid of both strings: strands start
+    at its left and upper edges and cross where letters differ, once at most.  The
+    longest common subsequence of one string with a stretch of the other is the
+    length of the stretch less the strands that start and end within it.
+    """
+
+    #: Keys of like length that are passed over at once.
+    TOGETHER = 4096
+
+    def __init__(self, keys: list[str]):
+        self.n = len(keys)
+        letters = sorted({c for k in keys for c in k})
+        self.code = {c: i + 2 for i, c in enumerate(letters)}
+        kind = np.uint8 if len(letters) < 250 else np.uint32
+        order = sorted(range(len(keys)), key=lambda j: len(keys[j]))
+        #: places of the keys, their lengths, and by position their letters, ended at the same one
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(order), self.TOGETHER):
+            at = order[a : a + self.TOGETHER]
+            width = len(keys[at[-1]])
+            codes = np.zeros((width, len(at)), dtype=kind)
+            for i, j in enumerate(at):
+                codes[width - len(keys[j]) :, i] = [self.code[c] for c in keys[j]]
+            self.parts.append((np.array(at), np.array([len(keys[j]) for j in at]), codes))
+
+    def scores(self, text: str) -> np.ndarray:
+        out = np.zeros(self.n)
+        for at, lengths, codes in self.parts:
+            out[at] = self._scores(text, lengths, codes) if text else np.where(lengths == 0, 100.0, 0.0)
+        return out
+
+    def _strands(self, text: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which strand ends at the right of each letter of the text, from the last, and below each position of the keys."""
+        m, (width, n) = len(text), codes.shape
+        kind = np.uint8 if m + width < 256 else np.uint32
+        back = np.array([self.code.get(c, 1) for c in reversed(text)], dtype=codes.dtype)[:, None]
+        right = np.repeat(np.arange(m, dtype=kind)[:, None], n, axis=1)
+        below = np.repeat(np.arange(m, m + width, dtype=kind)[:, None], n, axis=1)
+        for d in range(m + width - 1):
+            # a diagonal of the grid: its cells do not touch each other
+            c = d - m + 1
+            a, b = max(0, -c), min(m, width - c)
+            h, v = right[a:b], below[a + c : b + c]
+            turn = (codes[a + c : b + c] == back[a:b]) | (h > v)
+            swap = (h ^ v) * turn
+            h ^= swap
+            v ^= swap
+        return right[::-1], below
+
+    def _scores(self, text: str, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        m, (width, n) = len(text), codes.shape
+        right, below = self._strands(text, codes)
+        best = np.zeros(n)
+        pads = width - lengths
+        few = np.uint8 if max(m, width) < 256 else np.uint32
+        if lengths[-1] >= m:
+            # the text and stretches of the keys
+            top = np.zeros(n)
+            for s in range(int(pads[-1]) + 1 - m, width):
+                a, b = max(0, s), min(width, s + m)
+                w = b - np.maximum(a, pads)
+                common = b - a - (below[a:b] >= m + a).view(np.uint8).sum(axis=0, dtype=few).astype(np.int64)
+                top = np.maximum(top, 200.0 * common / (m + np.maximum(w, 0)))
+            best = np.where(lengths >= m, top, best)
+        short = np.flatnonzero((lengths < m) & (lengths > 0))
+        if len(short):
+            # the keys and stretches of the text
+            k, ends = lengths[short], right[:, short]
+            rows = np.arange(m)[:, None]
+            top = np.zeros(len(short))
+            for b in range(1, int(k[-1])):
+                common = b - (ends[:b] < m).view(np.uint8).sum(axis=0, dtype=few).astype(np.int64)
+                top = np.where(b < k, np.maximum(top, 200.0 * common / (k + b)), top)
+            for s in range(m):
+                b = np.minimum(m, s + k)
+                last, inside = int(b[-1]), rows < b
+                common = b - s - ((ends[s:last] < m - s) & inside[s:last]).view(np.uint8).sum(axis=0, dtype=few).astype(np.int64)
+                top = np.maximum(top, 200.0 * common / (k + b - s))
+            best[short] = top
+        return best
+
+
+class WeightedScorer:
+    """``weighted_ratio`` of one string with all keys, the same values as for each pair."""
+
+    def __init__(self, keys: list[str]):
+        self.words = [frozenset(k.split()) for k in keys]
+        self.holders: dict[str, list[int]] = {}
+        for j, ws in enumerate(self.words):
+            for w in ws:
+                self.holders.setdefault(w, []).append(j)
+        in_order = [" ".join(sorted(k.split())) for k in keys]
+        self.plain, self.sorted = KeyMatrix(keys), KeyMatrix(in_order)
+        self.sets, self.partial, self.partial_sorted = TokenSetScorer(keys), PartialScorer(keys), PartialScorer(in_order)
+
+    def scores(self, text: str) -> np.ndarray:
+        n = self.plain.lengths
+        if not text or not len(n):
+            return np.zeros(len(n))
+        x = " ".join(sorted(text.split()))
+        base = 200.0 * self.plain.lcs(text) / (len(text) + n)
+        both = len(x) + self.sorted.lengths
+        in_order = np.where(both > 0, 200.0 * self.sorted.lcs(x) / np.maximum(both, 1), 100.0)
+        near = np.maximum(base, 0.95 * np.maximum(in_order, self.sets.scores(text)))
+        spread = np.maximum(n, len(text)) / np.maximum(np.minimum(n, len(text)), 1)
+        scale = np.where(spread <= 8, 0.9, 0.6)
+        part = self.partial_sorted.scores(x)
+        words = part.copy()
+        for w in set(text.split()):
+            words[self.holders.get(w, [])] = 100.0
+        far = np.maximum(np.maximum(base, scale * self.partial.scores(text)), 0.95 * scale * np.maximum(part, words))
+        return np.where(n == 0, 0.0, np.where(spread < 1.5, near, far))
+
+
+#: Scorers that take all keys at once.
+AT_ONCE = {"token_set": TokenSetScorer, "partial": PartialScorer, "weighted": WeightedScorer}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.fuzzy import SCORERS, TokenSetScorer
+from termloom.functions.fuzzy import AT_ONCE, SCORERS
 from termloom.functions.text import norm
 from termloom.session import materialize, parallelism
 
@@ -93,12 +93,12 @@ def top_k_dot(queries: DataFrame, base: DataFrame, k: int, query: tuple[str, str
     return top_k(out.withColumn("score", F.round("score", 6)), ["query_id"], "score", "item_id", k)
 
 
-def fuzzy_top_k(texts: DataFrame, text: str, keys: DataFrame, k: int, key_limit: int, scorer: str = "token_set", least: float = 0.0) -> DataFrame:
+def fuzzy_top_k(texts: DataFrame, text: str, keys: DataFrame, k: int, key_limit: int | None, scorer: str = "token_set", least: float = 0.0) -> DataFrame:
     """(text, concept_id, key, score, rank): for each distinct text its k best concepts by their best key.
 
     First the ``key_limit`` best keys are taken, then the best key of each
-    concept, then k concepts; equal scores by key and id.  ``keys`` is (key,
-    concept_id), held in memory a bounded chunk at a time.  Null and empty texts
+    concept, then k concepts; equal scores by key and id.  Without a limit all keys
+    count; then those below the k-th best cannot matter.  ``keys`` is (key, concept_id), held in memory a bounded chunk at a time.  Null and empty texts
     have no row.
     """
     distinct = texts.select(F.col(text).alias("text")).where("text <> ''").distinct().repartition(parallelism(texts.sparkSession))
@@ -108,14 +108,18 @@ def fuzzy_top_k(texts: DataFrame, text: str, keys: DataFrame, k: int, key_limit:
     def make(names: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             f = SCORERS[scorer]
-            fast = TokenSetScorer(names) if scorer == "token_set" else None
+            fast = AT_ONCE[scorer](names) if scorer in AT_ONCE else None
             order = np.argsort(np.array(names, dtype=object), kind="stable")
             for b in batches:
                 rows = []
                 for t in b["text"]:
                     s = fast.scores(t) if fast else np.array([f(t, n) for n in names])
                     s = np.round(s, 6)
-                    best = order[np.argsort(-s[order], kind="stable")[:key_limit]]
+                    if key_limit is None:
+                        # each key has a concept, so that k keys suffice but for ties
+                        best = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else order
+                    else:
+                        best = order[np.argsort(-s[order], kind="stable")[:key_limit]]
                     rows.extend((t, names[j], float(s[j])) for j in best if s[j] >= least)
                 yield pd.DataFrame(rows, columns=["text", "key", "score"])
 
@@ -124,7 +128,7 @@ def fuzzy_top_k(texts: DataFrame, text: str, keys: DataFrame, k: int, key_limit:
     for chunk in _chunks(keys.where("key <> ''").select("key").distinct(), "key"):
         part = distinct.mapInPandas(make(sorted(chunk["key"].tolist())), "text string, key string, score double")
         out = part if out is None else out.unionByName(part)
-    limited = top_k(out, ["text"], "score", "key", key_limit).drop("rank")
+    limited = out if key_limit is None else top_k(out, ["text"], "score", "key", key_limit).drop("rank")
     best = limited.join(keys, "key").groupBy("text", "concept_id").agg(F.max_by(F.struct("key", "score"), F.struct("score", F.xxhash64("key"))).alias("b"))
     return top_k(best.select("text", "concept_id", "b.key", "b.score"), ["text"], "score", "concept_id", k)
 

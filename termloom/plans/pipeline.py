@@ -22,12 +22,19 @@ class Variant:
     """What a run consists of.
 
     ``retriever``: dense, fuzzy or fused; ``text``: plain or tagged, for the
-    encoder; ``refiner``: none, llm, fuzzy_llm or rerank; ``mode``: deploy, or
+    encoder; ``scorer``, ``keys`` (names, or terms: also synonyms), ``form``
+    (norm, lower, or raw: as written), ``key_limit`` (null: all keys count) and ``points`` (what the greatest score is): of the fuzzy
+    retriever; ``refiner``: none, llm, fuzzy_llm or rerank; ``mode``: deploy, or
     oracle_eval, which consults the answer and is for comparison only.
     """
 
     retriever: str = "dense"
     text: str = "plain"
+    scorer: str = "token_set"
+    keys: str = "terms"
+    form: str = "norm"
+    key_limit: int | None = None
+    points: float = 1.0
     refiner: str = "llm"
     mode: str = "deploy"
     k: int = 15
@@ -44,8 +51,9 @@ VARIANTS = {
     "dense_llm_eval": Variant(mode="oracle_eval", restrict_to_recalled=True),
     "dense_gate": Variant(refiner="fuzzy_llm"),
     "dense_rerank": Variant(text="tagged", refiner="rerank", k=35),
-    "fuzzy_llm": Variant(retriever="fuzzy", k=35, low=0.15, high=0.25),
-    "fused": Variant(retriever="fused", refiner="none", k=35),
+    "fuzzy_llm": Variant(retriever="fuzzy", scorer="partial", keys="names", form="lower", points=100.0, k=35, low=0.15, high=0.25),
+    "fuzzy_weighted": Variant(retriever="fuzzy", scorer="weighted", form="raw", key_limit=105, k=35, low=0.15, high=0.25),
+    "fused": Variant(retriever="fused", key_limit=280, refiner="none", k=35),
     "dense_only": Variant(refiner="none"),
 }
 
@@ -67,10 +75,19 @@ def retrieve(mentions: DataFrame, nodes: DataFrame, v: Variant) -> DataFrame:
         d = retrieval.top_k_dot(materialize(q, "mention-vectors"), materialize(b, "concept-vectors"), v.k, ("mention", "vec"))
         parts.append(d.select(F.col("query_id").alias("mention"), F.col("item_id").alias("concept_id"), "score"))
     if v.retriever in ("fuzzy", "fused"):
-        keys = ontology.lexicon(nodes).select(F.col("term").alias("key"), F.col("id").alias("concept_id"))
-        weight, least = (0.5, 88.0) if v.retriever == "fused" else (1.0, 0.0)
-        lowered = distinct.select("mention", norm("mention").alias("text"))
-        f = retrieval.fuzzy_top_k(lowered, "text", keys, v.k, max(8 * v.k, 50), least=least)
+        form = {"norm": norm, "lower": F.lower, "raw": F.trim}[v.form]
+        if v.keys == "names":
+            # a concept without a name goes by its id
+            terms = nodes.select(F.coalesce(F.nullif("name", F.lit("")), "id").alias("t"), "id")
+        else:
+            terms = (nodes.where("trim(name) <> ''") if v.form == "raw" else nodes).select(F.explode(F.array_append("synonyms", F.col("name"))).alias("t"), "id")
+        keys = terms.select(form(F.col("t")).alias("key"), F.col("id").alias("concept_id")).where("key <> ''").distinct()
+        if v.form == "raw":
+            # a string that several concepts have stands for the first
+            keys = keys.groupBy("key").agg(F.min("concept_id").alias("concept_id"))
+        weight, least = (0.5, 88.0) if v.retriever == "fused" else (v.points, 0.0)
+        lowered = distinct.select("mention", form(F.col("mention")).alias("text"))
+        f = retrieval.fuzzy_top_k(lowered, "text", keys, v.k, v.key_limit, v.scorer, least)
         parts.append(lowered.join(f, "text").select("mention", "concept_id", F.round(F.col("score") / 100 * weight, 6).alias("score")))
     if v.retriever == "fused":
         exact = distinct.withColumn("term", norm("mention")).join(ontology.lexicon(nodes), "term")

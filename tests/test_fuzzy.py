@@ -41,6 +41,26 @@ def test_all_keys_at_once(text, keys):
     assert np.allclose(fuzzy.TokenSetScorer(keys).scores(text), [fuzzy.token_set_ratio(text, k) for k in keys])
 
 
+@pytest.mark.parametrize("scorer", ["partial", "weighted"])
+@settings(max_examples=200, deadline=None)
+@given(text=TEXT, keys=st.lists(TEXT, min_size=1, max_size=8))
+def test_partial_and_weighted_at_once(scorer, text, keys):
+    assert np.allclose(fuzzy.AT_ONCE[scorer](keys).scores(text), [fuzzy.SCORERS[scorer](text, k) for k in keys])
+
+
+@pytest.mark.parametrize("scorer", ["partial", "weighted"])
+def test_long_text_at_once(scorer):
+    t, keys = "abc da " * 40, ["abc", "cab d" * 60, "x", "", "da abc"]
+    for a in (t, "bca"):
+        assert np.allclose(fuzzy.AT_ONCE[scorer](keys).scores(a), [fuzzy.SCORERS[scorer](a, k) for k in keys])
+
+
+def test_without_limit_ties_are_by_concept(spark):
+    keys = [(f"k{9 - i} ab", f"c{i}") for i in range(9)] + [("zz", "c0")]
+    got = retrieval.fuzzy_top_k(spark.createDataFrame([("ab",)], "t string"), "t", spark.createDataFrame(keys, "key string, concept_id string"), 3, None, "partial")
+    assert [(r["concept_id"], r["score"]) for r in got.orderBy("rank").collect()] == [("c0", 100.0), ("c1", 100.0), ("c2", 100.0)]
+
+
 def test_long_text():
     t, keys = "abc " * 30, ["abc", "cab " * 40]
     assert np.allclose(fuzzy.TokenSetScorer(keys).scores(t), [fuzzy.token_set_ratio(t, k) for k in keys])

@@ -153,6 +153,21 @@ def test_pipeline(spark):
     assert rep == {"d": 2, "none": 1, "_GLOBAL": 3}
 
 
+def test_fuzzy_variant_scores_all_names_in_part(spark):
+    from termloom.functions.fuzzy import partial_ratio, weighted_ratio
+
+    names = ["Ears that are big", "Big bears", "Feet", "Small feet, big toes", None]
+    n = ontology.nodes(spark.createDataFrame([(f"HP:{i}", x, ["feet big"], None, [], [], []) for i, x in enumerate(names)], "hpo_id string, hpo_name string, hpo_synonyms array<string>, hpo_def string, alt_ids array<string>, father array<string>, child array<string>"))
+    m = spark.createDataFrame([("Big ears",), ("feet big",)], "mention string")
+    got = pipeline.retrieve(m, n, pipeline.VARIANTS["fuzzy_llm"])
+    want = {(a, f"HP:{i}"): round(partial_ratio(a.lower(), (x or f"HP:{i}").lower()), 6) for a in ("Big ears", "feet big") for i, x in enumerate(names)}
+    assert {(r["mention"], r["concept_id"]): r["score"] for r in got.collect()} == want
+    got = pipeline.retrieve(m, n, pipeline.VARIANTS["fuzzy_weighted"])
+    want = {(a, f"HP:{i}"): max(weighted_ratio(a, k) for k in (x, "feet big" if i == 0 else x) if k) / 100 for a in ("Big ears", "feet big") for i, x in enumerate(names) if x}
+    got = {(r["mention"], r["concept_id"]): r["score"] for r in got.collect()}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
 def test_stream(spark, tmp_path):
     from termloom.streaming import requests as stream
 
