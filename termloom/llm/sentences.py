@@ -11,8 +11,8 @@ never ends a sentence are never divided.
 The model is a structured perceptron, averaged, trained when the query runs on a
 bounded sample of the texts (``TRAIN_TEXTS`` for each script).  Its labels come
 from a teacher: rules of punctuation, abbreviations and layout for punctuated
-scripts, and for the others, whose punctuation is stripped first, how paragraphs
-begin.
+scripts, and for the others how paragraphs begin, and digits and full stops; no
+punctuation is stripped from their texts.
 """
 
 from __future__ import annotations
