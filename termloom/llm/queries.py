@@ -13,6 +13,7 @@ def queries() -> dict:
         "p3_found": splitting.found,
         "p3_pieces": splitting.pieces,
         "p4_found": overlap.found,
+        "p4_links": overlap.links,
         "p4_report": overlap.report,
         "p5_found": lookalike.disguised,
         "p5_forms": lookalike.forms,
