@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termloom.functions.text import ColumnOrName, col
+from termloom.functions.text import ColumnOrName, col, strip
 
 
 def _filled(c: Column) -> Column:
     """Null where the text is null or blank."""
-    return F.when(F.trim(c) != "", F.trim(c))
+    return F.when(strip(c) != "", strip(c))
 
 
 def names(synonyms: ColumnOrName) -> Column:
@@ -25,22 +25,50 @@ def gold_text(name: ColumnOrName, definition: ColumnOrName, synonyms: ColumnOrNa
     return F.concat_ws(" ", *parts)
 
 
-def tagged_text(cid: ColumnOrName, name: ColumnOrName, synonyms: ColumnOrName, definition: ColumnOrName, extra: ColumnOrName | None = None, most: int | None = 3) -> Column:
-    """One tagged line each for id, name, up to ``most`` synonyms, definition and a further definition that differs from it."""
+def tagged_text(cid: ColumnOrName, name: ColumnOrName, synonyms: ColumnOrName, definition: ColumnOrName, extra: ColumnOrName | None = None, most: int | None = 3, model: ColumnOrName | None = None) -> Column:
+    """One tagged line each for id, name (the id where there is none), synonyms, definition, a model's definition and an added one.
+
+    For an encoder (``most`` synonyms) the model's definition stands in where
+    there is no definition; for a prompt (``most`` None: all synonyms) it has a
+    line of its own unless it is the same.
+    """
     syn = names(synonyms)
     syn = F.slice(syn, 1, most) if most else syn
     d = _filled(col(definition))
-    lines = [F.concat(F.lit("[HPO_ID] "), col(cid)), F.concat(F.lit("[NAME] "), _filled(col(name))), F.when(F.size(syn) > 0, F.concat(F.lit("[SYN] "), F.array_join(syn, "; "))), F.concat(F.lit("[DEF] "), d)]
+    lines = [F.concat(F.lit("[HPO_ID] "), col(cid)), F.concat(F.lit("[NAME] "), F.coalesce(_filled(col(name)), col(cid))), F.when(F.size(syn) > 0, F.concat(F.lit("[SYN] "), F.array_join(syn, "; "))), F.concat(F.lit("[DEF] "), d)]
+    if model is not None:
+        m = _filled(col(model))
+        lines.append(F.when(d.isNull() if most else ~m.eqNullSafe(d), F.concat(F.lit("[LLM_DEF] "), m)))
     if extra is not None:
-        e = _filled(col(extra))
-        lines.append(F.when(~e.eqNullSafe(d), F.concat(F.lit("[ADD_DEF] "), e)))
+        lines.append(F.concat(F.lit("[ADD_DEF] "), _filled(col(extra))))
     return F.concat_ws("\n", *lines)
 
 
+def prompt_info(record: ColumnOrName, cid: ColumnOrName) -> Column:
+    """struct(hpo_id, hpo_name, hpo_def, hpo_synonyms) of a map<string, array<string>> of an entry's fields, under whichever key they stand.
+
+    The name falls back to the id, a missing definition is empty, missing synonyms are none.
+    """
+
+    def values(*keys: str) -> Column:
+        filled = [F.filter(F.try_element_at(col(record), F.lit(k)), lambda x: strip(x) != "") for k in keys]
+        return F.coalesce(*[F.when(F.size(v) > 0, v) for v in filled])
+
+    first = lambda v: F.get(v, F.lit(0))
+    name = F.coalesce(first(values("Name", "name", "label", "preferred_label")), col(cid))
+    synonyms = F.coalesce(values("Synonym", "synonym"), F.array().cast("array<string>"))
+    return F.struct(col(cid).alias("hpo_id"), name.alias("hpo_name"), F.coalesce(first(values("Def", "def")), F.lit("")).alias("hpo_def"), synonyms.alias("hpo_synonyms"))
+
+
+def with_plain_names(candidates: Column) -> Column:
+    """An array of candidates with ``name``, ``def`` and ``synonyms`` beside the fields named with a prefix."""
+    return F.transform(candidates, lambda c: c.withField("name", c["hpo_name"]).withField("def", c["hpo_def"]).withField("synonyms", c["hpo_synonyms"]))
+
+
 def name_span(text: Column, name: ColumnOrName) -> Column:
-    """struct(c0, c1): the first place of the name in the text, (0, 0) if it isn't there."""
+    """struct(c0, c1): the first place of the name in the text, all of the text if it isn't there."""
     at = F.instr(text, col(name))
-    return F.when(at > 0, F.struct((at - 1).alias("c0"), (at - 1 + F.length(col(name))).alias("c1"))).otherwise(F.struct(F.lit(0).alias("c0"), F.lit(0).alias("c1")))
+    return F.when(at > 0, F.struct((at - 1).alias("c0"), (at - 1 + F.length(col(name))).alias("c1"))).otherwise(F.struct(F.lit(0).alias("c0"), F.length(text).alias("c1")))
 
 
 def candidate_block(candidates: Column, most: int = 35) -> Column:

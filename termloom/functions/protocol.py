@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termloom.functions.text import ColumnOrName, col, polarity
+from termloom.functions.text import ColumnOrName, col, polarity, strip
+
+# The tags of the line protocol, and how a reply names a number or an id.
+SENT_TAG = r"(?i)^\s*(?:SENT_EN|SENTENCE_EN|EN)\s*[:\t ]\s*(.*)$"
+INDEX_TAG = r"(?i)\bINDEX\s*[:=]\s*(-?\d+)\b"
+ID_TAG = r"\b(HP:\d{7})\b"
 
 HINTS = "array<struct<hint_en:string,polarity:string,type:string>>"
 NO_HINTS = f"cast(array() as {HINTS})"
@@ -13,8 +18,8 @@ NO_HINTS = f"cast(array() as {HINTS})"
 
 def parse_indices(reply: ColumnOrName, n: Column) -> Column:
     """The numbers below ``n`` of a list such as ``0,2``, in order, once each; anything else than digits, commas and minus gives none."""
-    r = F.trim(col(reply))
-    ints = F.transform(F.split(r, ","), lambda x: x.try_cast("int"))
+    r = strip(reply)
+    ints = F.transform(F.split(r, ","), lambda x: strip(x).try_cast("int"))
     valid = F.array_distinct(F.filter(ints, lambda i: i.isNotNull() & (i >= 0) & (i < n)))
     return F.when(r.rlike("^[0-9,-]+$"), valid).otherwise(F.expr("cast(array() as array<int>)"))
 
@@ -22,15 +27,15 @@ def parse_indices(reply: ColumnOrName, n: Column) -> Column:
 def refine_choice(reply: ColumnOrName, ids: Column) -> Column:
     """The chosen number: ``INDEX: n``, else the place of the first id named, else the first whole number; it may be out of range."""
     r = col(reply)
-    named = F.regexp_extract(r, r"(?i)\bINDEX\s*[:=]\s*(-?\d+)\b", 1).try_cast("int")
-    hid = F.regexp_extract(r, r"\b(HP:\d{7})\b", 1)
+    named = F.regexp_extract(r, INDEX_TAG, 1).try_cast("int")
+    hid = F.regexp_extract(r, ID_TAG, 1)
     place = F.nullif(F.array_position(ids, hid), F.lit(0)) - 1
     first = F.regexp_extract(r, r"(-?\d+)", 1).try_cast("int")
     return F.coalesce(named, place.cast("int"), first)
 
 
 def _lines(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: strip(x) != "")
 
 
 def _before_end(lines: Column, end: str) -> tuple[Column, Column]:
@@ -41,7 +46,7 @@ def _before_end(lines: Column, end: str) -> tuple[Column, Column]:
 
 
 def _last_sentence(lines: Column, pattern: str) -> Column:
-    found = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, pattern, 1))), lambda x: x != "")
+    found = F.filter(F.transform(lines, lambda x: strip(F.regexp_extract(x, pattern, 1))), lambda x: x != "")
     return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(-1))).otherwise("")
 
 
@@ -57,20 +62,20 @@ def parse_protocol(reply: ColumnOrName, dialect: str = "loose", repair: bool = T
     r = col(reply)
     loose = dialect == "loose"
     lines, saw = _before_end(_lines(r), r"(?i)^\s*END\s*\.?\s*$" if loose else r"^\s*END\s*$")
-    sent = r"(?i)^\s*(?:SENT_EN|SENTENCE_EN|EN)\s*[:\t ]\s*(.*)$"
+    sent = SENT_TAG
     sentence = _last_sentence(lines, sent)
     is_sent = lambda x: x.rlike(sent)
     is_hint = lambda x: x.rlike(r"(?i)^\s*HINT\s*[:\t ]" if loose else r"(?i)^\s*HINT(\s|$)")
 
     def fields(x: Column) -> Column:
-        body = F.trim(F.regexp_replace(x, r"(?i)^\s*HINT\s*[:\t ]?\s*", ""))
-        tabs = F.transform(F.split(body, "\t"), lambda p: F.trim(p))
+        body = F.regexp_replace(F.regexp_replace(x, r"(?i)^\s*HINT\s*[:\t ]?\s*", ""), r"[\r ]+$", "")
+        tabs = F.transform(F.split(body, "\t"), lambda p: strip(p))
         return F.when(body.contains("\t"), tabs).otherwise(F.split(body, r"\s+"))
 
     def hint(x: Column) -> Column:
         p = fields(x)
         n = F.size(p)
-        text = F.trim(F.array_join(F.slice(p, 1, F.greatest(n - 2, F.lit(0))), " " if loose else "\t"))
+        text = strip(F.array_join(F.slice(p, 1, F.greatest(n - 2, F.lit(0))), " " if loose else "\t"))
         kind = F.lower(F.try_element_at(p, F.lit(-1)))
         return F.struct(text.alias("hint_en"), polarity(F.try_element_at(p, F.lit(-2))).alias("polarity"), F.when(kind == "", "other").otherwise(kind).alias("type"))
 
@@ -100,10 +105,10 @@ def parse_json_hints(c: ColumnOrName) -> Column:
     def hint(h: Column) -> Column:
         o = F.from_json(h, one)
         text = F.when(h.startswith("{"), o["hint_en"]).otherwise(h)
-        return F.struct(F.trim(text).alias("hint_en"), polarity(o["polarity"]).alias("polarity"), F.coalesce(o["type"], F.lit("other")).alias("type"))
+        return F.struct(strip(text).alias("hint_en"), polarity(o["polarity"]).alias("polarity"), F.coalesce(o["type"], F.lit("other")).alias("type"))
 
     hints = F.filter(F.transform(F.coalesce(obj["hints"], F.array().cast("array<string>")), hint), lambda h: F.coalesce(h["hint_en"], F.lit("")) != "")
-    sentence = F.trim(F.coalesce(obj["sentence_en"], F.lit("")))
+    sentence = strip(F.coalesce(obj["sentence_en"], F.lit("")))
     return F.struct((sentence != "").alias("ok"), sentence.alias("sentence_en"), hints.alias("hints"))
 
 

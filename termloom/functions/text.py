@@ -16,6 +16,11 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: ColumnOrName) -> Column:
+    """Without white space, as Unicode has it, at both ends."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+
+
 def norm(c: ColumnOrName) -> Column:
     """Lower case, outer white space removed, inner runs of it one space (white space as Unicode has it)."""
     inner = F.regexp_replace(F.lower(col(c)), r"(?U)\s+", " ")
@@ -24,7 +29,7 @@ def norm(c: ColumnOrName) -> Column:
 
 def norm_id(c: ColumnOrName) -> Column:
     """``_`` of an id as ``:``, in upper case without outer space; empty becomes null."""
-    s = F.upper(F.trim(F.replace(col(c), F.lit("_"), F.lit(":"))))
+    s = F.upper(strip(F.replace(col(c), F.lit("_"), F.lit(":"))))
     return F.when(s != "", s)
 
 
@@ -68,7 +73,36 @@ def tag(c: ColumnOrName) -> Column:
     return F.regexp_replace(col(c), r"[^A-Za-z0-9._-]+", "_")
 
 
+# The terminators of a simple sentence, and the words of polarity.
 PIECES = r"[^。！？；!?;\n.]+[。！？；!?;.]?|\n+|[。！？；!?;.]"
+PRESENT = ("present", "pos", "positive", "yes", "y")
+ABSENT = ("absent", "neg", "negative", "no", "n", "denied", "without", "not_present")
+
+#: Pieces that are placed together: an array grows by copying, so that a long one is put together from short ones.
+TOGETHER = 512
+
+
+def placed(parts: Column) -> Column:
+    """array<struct<src, c0, c1>>: consecutive pieces of a text with their places, in time that grows with their number."""
+    # bound to a name of a lambda, so that it is computed once
+    return F.get(F.transform(F.array(parts), _placed), F.lit(0))
+
+
+def _placed(parts: Column) -> Column:
+    kind = "array<struct<src:string,c0:int,c1:int>>"
+    empty, many = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x)
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(x.alias("src"), acc["at"].alias("c0"), end.alias("c1"))).alias("out"))
+
+    def block(acc: Column, i: Column) -> Column:
+        some = F.slice(parts, i * TOGETHER + 1, TOGETHER)
+        here = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), one, lambda a: a["out"])
+        return F.struct(F.aggregate(some, acc["at"], lambda n, x: n + F.length(x)).alias("at"), F.array_append(acc["out"], here).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(parts), F.lit(1)) - 1) / TOGETHER).cast("int"))
+    return F.when(parts.isNotNull(), F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), many.alias("out")), block, lambda a: a["out"])))
 
 
 def simple_sentences(c: ColumnOrName) -> Column:
@@ -76,15 +110,8 @@ def simple_sentences(c: ColumnOrName) -> Column:
 
     The pieces of the pattern tile the text, so offsets are running sums of lengths.
     """
-    parts = F.regexp_extract_all(col(c), F.lit(PIECES), F.lit(0))
-    kind = "array<struct<src:string,c0:int,c1:int>>"
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.array_append(acc["out"], F.struct(x.alias("src"), acc["at"].alias("c0"), (acc["at"] + F.length(x)).alias("c1"))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    kept = F.filter(placed, lambda x: (F.length(F.regexp_replace(x["src"], r"(?U)\s", "")) > 0) & ~x["src"].rlike("^[。！？；!?;.]$"))
+    pieces = placed(F.regexp_extract_all(col(c), F.lit(PIECES), F.lit(0)))
+    kept = F.filter(pieces, lambda x: (F.length(F.regexp_replace(x["src"], r"(?U)\s", "")) > 0) & ~x["src"].rlike("^[。！？；!?;.]$"))
     return F.transform(kept, lambda x, i: F.struct(i.alias("sid"), x["src"].alias("src"), x["c0"].alias("c0"), x["c1"].alias("c1")))
 
 
@@ -100,6 +127,6 @@ def token_windows(tokens: Column, size: int, stride: int) -> Column:
 
 def polarity(c: ColumnOrName, unknown: str | None = "uncertain") -> Column:
     """present, absent or ``unknown``; where that is None, other words stay as they are."""
-    s = F.lower(F.trim(col(c)))
+    s = F.lower(strip(c))
     other = F.lit(unknown) if unknown is not None else s
-    return F.when(s.isin("present", "pos", "positive", "yes", "y"), "present").when(s.isin("absent", "neg", "negative", "no", "n", "denied", "without", "not_present"), "absent").otherwise(F.coalesce(other, F.lit("uncertain")))
+    return F.when(s.isin(*PRESENT), "present").when(s.isin(*ABSENT), "absent").otherwise(F.coalesce(other, F.lit("uncertain")))

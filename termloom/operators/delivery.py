@@ -33,10 +33,15 @@ def latest_wide(df: DataFrame, key: str, order: str, keep: Column, *columns: str
     return wide.join(last, key).where(F.col(order).eqNullSafe(F.col("_last"))).select(key, *columns)
 
 
-#: Keys delivered more than once that may be broadcast.
+#: Rows of one or two short columns that may be broadcast.
 BROADCAST_KEYS = 200_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The frame, broadcast where it has few rows, which are counted first; else left to the planner."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def latest_sparse(df: DataFrame, key: str, order: str) -> DataFrame:
     """As ``latest`` with all columns, for tables where few keys are delivered more than once.
 
@@ -44,9 +49,7 @@ def latest_sparse(df: DataFrame, key: str, order: str) -> DataFrame:
     enough to broadcast (their number is counted first); else both joins shuffle.
     """
     named = df.where(F.col(key).isNotNull())
-    repeated = named.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
-    if repeated.count() <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
+    repeated = small(named.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
     once = named.join(repeated, key, "left_anti")
     again = latest(named.join(repeated, key, "left_semi"), key, order)
     return once.unionByName(again.select(*once.columns))

@@ -57,12 +57,16 @@ def reranked(candidates: DataFrame, by: str, pairs: DataFrame, depths: DataFrame
     return out.withColumn("rank", F.row_number().over(w) - 1).drop("_hit", "base")
 
 
-def most_specific(ids: DataFrame, by: str, pairs: DataFrame) -> DataFrame:
-    """(by, concept_id): distinct ids of each group that are no ancestor of another of it."""
+def most_specific(ids: DataFrame, by: str, pairs: DataFrame, depths: DataFrame | None = None) -> DataFrame:
+    """(by, concept_id[, depth, rank]): distinct ids of each group that are no ancestor of another of it; with ``depths`` the deepest first, equal ones by id."""
     d = ids.where("concept_id is not null").select(by, "concept_id").distinct()
     other = d.select(by, F.col("concept_id").alias("descendant"))
     above = other.join(pairs.select("ancestor", "descendant"), "descendant").select(by, F.col("ancestor").alias("concept_id")).distinct()
-    return d.join(above, [by, "concept_id"], "left_anti")
+    kept = d.join(above, [by, "concept_id"], "left_anti")
+    if depths is None:
+        return kept
+    w = Window.partitionBy(by).orderBy(F.desc("depth"), "concept_id")
+    return with_depth(kept, depths).drop("depth_norm").withColumn("rank", F.row_number().over(w) - 1)
 
 
 def common_ancestor(left: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -72,3 +76,9 @@ def common_ancestor(left: DataFrame, pairs: DataFrame, a: str = "a", b: str = "b
     ua, ub = up.select("ancestor", F.col("descendant").alias(a), F.col("steps").alias("sa")), up.select("ancestor", F.col("descendant").alias(b), F.col("steps").alias("sb"))
     best = left.select(a, b).distinct().join(ua, a).join(ub, [b, "ancestor"]).groupBy(a, b).agg(F.min(F.struct((F.col("sa") + F.col("sb")).alias("d"), "ancestor")).alias("m"))
     return left.join(best.select(a, b, F.col("m.ancestor").alias("lca"), F.col("m.d").alias("distance")), [a, b], "left")
+
+
+def near(candidates: DataFrame, by: str, target: str, pairs: DataFrame, most: int) -> DataFrame:
+    """Candidates within ``most`` steps of the concept ``target`` of their row, with ``lca`` and ``distance``; those of another branch have no common ancestor and are left out."""
+    d = common_ancestor(candidates.select(F.col("concept_id").alias("a"), F.col(target).alias("b")).distinct(), pairs)
+    return candidates.join(d.withColumnsRenamed({"a": "concept_id", "b": target}), ["concept_id", target]).where(F.col("distance") <= most)

@@ -29,6 +29,11 @@ def retrieval_metrics(hits: DataFrame, dataset: str = "dataset", k: int = 15) ->
     return summed.select(name.alias(dataset), "total", ratio(F.col("h1"), F.col("total")).alias("top1"), ratio(F.col("h5"), F.col("total")).alias("top5"), ratio(F.col("hk"), F.col("total")).alias("recall_k"))
 
 
+def single_prf(rates: DataFrame, hit: str = "top5") -> DataFrame:
+    """Hit rates with ``precision``, ``recall`` and ``f1``: with one answer for each mention all three are the rate of hits."""
+    return rates.select("*", *[F.col(hit).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     p, r = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return [p.alias("precision"), r.alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")]
@@ -61,17 +66,15 @@ def label_accuracy(rows: DataFrame, by: str, gold: str, pred: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), ratio(F.count_if(F.col(gold).eqNullSafe(F.col(pred))), F.count("*")).alias("accuracy"))
 
 
-def info_nce(pairs: DataFrame, a: str, b: str, score: str, temperature: float = 0.05) -> DataFrame:
-    """(loss): the two-way contrastive loss of a batch of scores, matching pairs being those of equal ids.
+def info_nce(pairs: DataFrame, batch: str, a: str, b: str, score: str, temperature: float = 0.05) -> DataFrame:
+    """(batch, loss): the two-way contrastive loss of each batch of scores, matching pairs being those of equal ids.
 
     log-sum-exp by rows and by columns, with the greatest taken out.
     """
-    from pyspark.sql import Window
-
     x = pairs.withColumn("l", F.col(score) / temperature)
     parts = []
     for key in (a, b):
-        top = F.max("l").over(Window.partitionBy(key))
-        s = x.withColumn("m", top).groupBy(key).agg(F.first("m").alias("m"), F.sum(F.exp(F.col("l") - F.col("m"))).alias("s"), F.sum(F.when(F.col(a) == F.col(b), F.col("l"))).alias("own"))
-        parts.append(s.select((F.col("m") + F.log("s") - F.col("own")).alias("loss")))
-    return parts[0].unionByName(parts[1]).agg(F.round(F.avg("loss"), 6).alias("loss"))
+        s = x.groupBy(batch, key).agg(F.max("l").alias("m"), F.collect_list("l").alias("ls"), F.max(F.when(F.col(a) == F.col(b), F.col("l"))).alias("own"))
+        total = F.aggregate("ls", F.lit(0.0), lambda t, v: t + F.exp(v - F.col("m")))
+        parts.append(s.select(batch, (F.col("m") + F.log(total) - F.col("own")).alias("loss")))
+    return parts[0].unionByName(parts[1]).groupBy(batch).agg(F.round(F.avg("loss"), 6).alias("loss"))

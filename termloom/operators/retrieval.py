@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from termloom.functions.fuzzy import AT_ONCE, SCORERS
 from termloom.functions.text import norm
-from termloom.session import materialize, parallelism
+from termloom.session import materialize, tasks_for
 
-#: Rows of the smaller side of a dense or fuzzy join held in memory at once.
+#: Rows of a side of a dense or fuzzy join held in memory at once.
 CHUNK = 20_000
 
 
@@ -43,54 +43,65 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
 
 
+def _best_dots(qids: np.ndarray, q: np.ndarray, iids: np.ndarray, m: np.ndarray, k: int, skip_same: bool) -> pd.DataFrame:
+    """The k greatest products of each query with some items, as they are reported, equal ones by item."""
+    if not len(qids) or not len(iids):
+        return pd.DataFrame({"query_id": qids[:0], "item_id": iids[:0], "score": np.zeros(0)})
+    sims = np.round(q @ m.T, 6)
+    if skip_same:
+        sims = np.where(qids[:, None] == iids[None, :], -np.inf, sims)
+    # by id first, so that equal scores keep the order of ids
+    order = np.argsort(iids, kind="stable")
+    top = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
+    got = pd.DataFrame({"query_id": np.repeat(qids, top.shape[1]), "item_id": iids[top].ravel(), "score": np.take_along_axis(sims, top, 1).ravel()})
+    return got[np.isfinite(got["score"])]
+
+
 def top_k_dot(queries: DataFrame, base: DataFrame, k: int, query: tuple[str, str] = ("query_id", "vec"), item: tuple[str, str] = ("item_id", "vec"), skip_same: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank): the k greatest dot products of every query with all of ``base``, ties by item.
 
-    The smaller side is held in memory a bounded chunk at a time; the larger one
-    streams through a matrix product where it lies, and only k rows for each
-    query and task leave the task.  Rows with a null id or vector are left out.
+    Scores are rounded to six places before they are compared.  A smaller side of
+    at most ``CHUNK`` rows is held in memory, and the larger one streams through a
+    matrix product where it lies; else both sides are divided into blocks of about
+    that size and each block meets each block once.  Only k rows for each query and
+    task leave a task.  Rows with a null id or vector are left out.
     """
     qid, qv = query
     iid, iv = item
-    queries, base = queries.where(f"{qid} is not null and {qv} is not null").select(qid, qv), base.where(f"{iid} is not null and {iv} is not null").select(iid, iv)
-    qt, it = dict(queries.dtypes)[qid], dict(base.dtypes)[iid]
-    small_queries = queries.count() <= base.count()
-    out = None
-
-    def make(ids: list, m: np.ndarray, held_queries: bool):
-        key, vec = (iid, iv) if held_queries else (qid, qv)
+    queries, base = queries.where(f"{qid} is not null and {qv} is not null").select(F.col(qid).alias("id"), F.col(qv).alias("vec")), base.where(f"{iid} is not null and {iv} is not null").select(F.col(iid).alias("id"), F.col(iv).alias("vec"))
+    schema = f"query_id {dict(queries.dtypes)['id']}, item_id {dict(base.dtypes)['id']}, score double"
+    nq, nb = queries.count(), base.count()
+    if min(nq, nb) <= CHUNK:
+        held_queries = nq <= nb
+        chunk = (queries if held_queries else base).toPandas()
+        ids, m = chunk["id"].to_numpy(), _matrix(chunk["vec"])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best: pd.DataFrame | None = None
             for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                other = _matrix(b[vec])
-                sims = m @ other.T if held_queries else other @ m.T
-                row_ids, col_ids = (np.array(ids), b[key].to_numpy()) if held_queries else (b[key].to_numpy(), np.array(ids))
-                if skip_same:
-                    sims = np.where(row_ids[:, None] == col_ids[None, :], -np.inf, sims)
-                # by id first, so that equal scores keep the order of ids
-                order = np.argsort(col_ids, kind="stable")
-                top = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
-                got = pd.DataFrame({"query_id": np.repeat(row_ids, top.shape[1]), "item_id": col_ids[top].ravel(), "score": np.take_along_axis(sims, top, 1).ravel()})
-                got = got[np.isfinite(got["score"])]
+                other, theirs = _matrix(b["vec"]), b["id"].to_numpy()
                 if not held_queries:
-                    yield got
+                    yield _best_dots(theirs, other, ids, m, k, skip_same)
                     continue
+                got = _best_dots(ids, m, theirs, other, k, skip_same)
                 best = got if best is None else pd.concat([best, got])
                 best = best.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:
                 yield best
 
-        return run
+        out = (base if held_queries else queries).mapInPandas(run, schema)
+    else:
+        bq, bb = -(-nq // CHUNK), -(-nb // CHUNK)
+        block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = queries.withColumn("q", block(bq)).withColumn("b", every(bb))
+        i = base.withColumn("b", block(bb)).withColumn("q", every(bq))
 
-    held, streamed = (queries, base) if small_queries else (base, queries)
-    for chunk in _chunks(held, qid if small_queries else iid):
-        ids, m = chunk.iloc[:, 0].tolist(), _matrix(chunk.iloc[:, 1])
-        part = streamed.mapInPandas(make(ids, m, small_queries), f"query_id {qt}, item_id {it}, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out.withColumn("score", F.round("score", 6)), ["query_id"], "score", "item_id", k)
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            return _best_dots(x["id"].to_numpy(), _matrix(x["vec"]), y["id"].to_numpy(), _matrix(y["vec"]), k, skip_same)
+
+        out = q.groupBy("q", "b").cogroup(i.groupBy("q", "b")).applyInPandas(meet, schema)
+    return top_k(out, ["query_id"], "score", "item_id", k)
 
 
 def fuzzy_top_k(texts: DataFrame, text: str, keys: DataFrame, k: int, key_limit: int | None, scorer: str = "token_set", least: float = 0.0) -> DataFrame:
@@ -101,8 +112,9 @@ def fuzzy_top_k(texts: DataFrame, text: str, keys: DataFrame, k: int, key_limit:
     count; then those below the k-th best cannot matter.  ``keys`` is (key, concept_id), held in memory a bounded chunk at a time.  Null and empty texts
     have no row.
     """
-    distinct = texts.select(F.col(text).alias("text")).where("text <> ''").distinct().repartition(parallelism(texts.sparkSession))
+    distinct = texts.select(F.col(text).alias("text")).where("text <> ''").distinct()
     distinct = materialize(distinct, "fuzzy-texts")
+    distinct = distinct.repartition(tasks_for(distinct))
     out = None
 
     def make(names: list[str]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = r"(?U)\w+|[^\w\s]"
+from termloom.functions.text import clamp, placed
 
 
 def tokens(text: Column) -> Column:
@@ -13,16 +13,9 @@ def tokens(text: Column) -> Column:
 
     Text and tokens are walked together: what stands between two tokens is white space.
     """
-    parts = F.regexp_extract_all(text, F.lit(r"(?U)\s+|\w+|[^\w\s]"), F.lit(0))
-    kind = "array<struct<token:string,c0:int,c1:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        blank = x.rlike(r"(?U)^\s")
-        return F.struct(end.alias("at"), F.when(blank, acc["out"]).otherwise(F.array_append(acc["out"], F.struct(x.alias("token"), acc["at"].alias("c0"), end.alias("c1")))).alias("out"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    pieces = placed(F.regexp_extract_all(text, F.lit(r"(?U)\s+|\w+|[^\w\s]"), F.lit(0)))
+    kept = F.filter(pieces, lambda x: ~x["src"].rlike(r"(?U)^\s"))
+    return F.transform(kept, lambda x: F.struct(x["src"].alias("token"), x["c0"].alias("c0"), x["c1"].alias("c1")))
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -84,6 +77,7 @@ def best_overlap(gold: DataFrame, pred: DataFrame, doc: str, least: float = 0.5)
     return gold.select(doc, "g0", "g1").distinct().join(best, [doc, "g0", "g1"], "left")
 
 
-def valid_spans(spans: DataFrame, c0: str, c1: str, *by: str) -> DataFrame:
-    """Spans of at least one character, each once for its place and ``by``."""
-    return spans.where(F.col(c1) > F.col(c0)).dropDuplicates([*by, c0, c1])
+def valid_spans(spans: DataFrame, c0: str, c1: str, length: Column, *by: str) -> DataFrame:
+    """Spans clamped to their text of ``length``, of at least one character, each once for its place and ``by``, in order of place."""
+    inside = spans.withColumn(c0, clamp(c0, length)).withColumn(c1, clamp(c1, length))
+    return inside.where(F.col(c1) > F.col(c0)).dropDuplicates([*by, c0, c1])

@@ -7,14 +7,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions import prompts, protocol
-from termloom.functions.text import norm
-from termloom.operators import metrics, retrieval, routing
+from termloom.functions import prompts, protocol, vectors
+from termloom.functions.text import norm, truncated
+from termloom.operators import hierarchy, metrics, retrieval, routing
 from termloom.plans.providers import Replies, encoded, overlap_choice, yes_probability
 from termloom.session import materialize
 from termloom.sources import ontology
 
 PROMPT = "CONTEXT: {{context}}\nMENTION: {{mention}}\nCANDIDATES:\n{{candidates}}\nAnswer with one number, -1 if none fits."
+RERANK = "Does the document describe the concept that the query names?"
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,8 @@ class Variant:
     ``retriever``: dense, fuzzy or fused; ``text``: plain or tagged, for the
     encoder; ``scorer``, ``keys`` (names, or terms: also synonyms), ``form``
     (norm, lower, or raw: as written), ``key_limit`` (null: all keys count) and ``points`` (what the greatest score is): of the fuzzy
-    retriever; ``refiner``: none, llm, fuzzy_llm or rerank; ``mode``: deploy, or
+    retriever; ``hierarchy``: whether candidates are pruned by the hierarchy and, by
+    their dense scores, reranked; ``prompt``: the text sent to a language model; ``refiner``: none, llm, fuzzy_llm or rerank; ``mode``: deploy, or
     oracle_eval, which consults the answer and is for comparison only.
     """
 
@@ -44,6 +46,8 @@ class Variant:
     rerank_least: float = 0.05
     restrict_to_recalled: bool = False
     include_aliases: bool = False
+    hierarchy: bool = False
+    prompt: str = PROMPT
 
 
 VARIANTS = {
@@ -53,7 +57,7 @@ VARIANTS = {
     "dense_rerank": Variant(text="tagged", refiner="rerank", k=35),
     "fuzzy_llm": Variant(retriever="fuzzy", scorer="partial", keys="names", form="lower", points=100.0, k=35, low=0.15, high=0.25),
     "fuzzy_weighted": Variant(retriever="fuzzy", scorer="weighted", form="raw", key_limit=105, k=35, low=0.15, high=0.25),
-    "fused": Variant(retriever="fused", key_limit=280, refiner="none", k=35),
+    "fused": Variant(retriever="fused", key_limit=256, refiner="none", k=35, hierarchy=True),
     "dense_only": Variant(refiner="none"),
 }
 
@@ -65,14 +69,31 @@ def concept_texts(nodes: DataFrame, v: Variant) -> DataFrame:
     return n.select(F.col("id").alias("item_id"), text.alias("text"))
 
 
+def _vectors(mentions: DataFrame, nodes: DataFrame, v: Variant) -> tuple[DataFrame, DataFrame]:
+    """(mention, vec) and (item_id, vec), written once."""
+    q = mentions.select("mention", encoded(F.col("mention")).alias("vec"))
+    b = concept_texts(nodes, v).select("item_id", encoded(F.col("text")).alias("vec"))
+    return materialize(q, "mention-vectors"), materialize(b, "concept-vectors")
+
+
+def by_hierarchy(ranked: DataFrame, mentions: DataFrame, nodes: DataFrame, v: Variant) -> DataFrame:
+    """The candidates pruned by the hierarchy, then in the order of their dense scores and depths."""
+    pairs = ontology.closure(ontology.edges(nodes))
+    depths = materialize(ontology.depths(nodes, pairs), "depths")
+    kept = hierarchy.pruned(ranked.select("mention", "concept_id", "score"), "mention", pairs, depths, v.k)
+    q, b = _vectors(mentions, nodes, v)
+    sims = kept.join(q.withColumnRenamed("vec", "a"), "mention").join(b.select(F.col("item_id").alias("concept_id"), F.col("vec").alias("b")), "concept_id")
+    sims = sims.select("mention", "concept_id", F.round(vectors.dot(F.col("a"), F.col("b")), 6).alias("score"))
+    again = hierarchy.reranked(materialize(sims, "pruned"), "mention", pairs, depths)
+    return again.select("mention", "concept_id", F.col("final").alias("score"), "rank")
+
+
 def retrieve(mentions: DataFrame, nodes: DataFrame, v: Variant) -> DataFrame:
     """(mention, concept_id, score, rank) for each distinct mention."""
     distinct = mentions.where("mention <> ''").select("mention").distinct()
     parts = []
     if v.retriever in ("dense", "fused"):
-        q = distinct.select("mention", encoded(F.col("mention")).alias("vec"))
-        b = concept_texts(nodes, v).select("item_id", encoded(F.col("text")).alias("vec"))
-        d = retrieval.top_k_dot(materialize(q, "mention-vectors"), materialize(b, "concept-vectors"), v.k, ("mention", "vec"))
+        d = retrieval.top_k_dot(*_vectors(distinct, nodes, v), v.k, ("mention", "vec"))
         parts.append(d.select(F.col("query_id").alias("mention"), F.col("item_id").alias("concept_id"), "score"))
     if v.retriever in ("fuzzy", "fused"):
         form = {"norm": norm, "lower": F.lower, "raw": F.trim}[v.form]
@@ -92,7 +113,8 @@ def retrieve(mentions: DataFrame, nodes: DataFrame, v: Variant) -> DataFrame:
     if v.retriever == "fused":
         exact = distinct.withColumn("term", norm("mention")).join(ontology.lexicon(nodes), "term")
         parts.append(exact.select("mention", F.col("id").alias("concept_id"), F.lit(1.0).alias("score")))
-    return retrieval.top_k(retrieval.fused(*parts, by="mention"), ["mention"], "score", "concept_id", v.k)
+    ranked = retrieval.top_k(retrieval.fused(*parts, by="mention"), ["mention"], "score", "concept_id", v.k)
+    return by_hierarchy(materialize(ranked, "candidates"), distinct, nodes, v) if v.hierarchy else ranked
 
 
 def _refined(todo: DataFrame, v: Variant, replies: Replies) -> DataFrame:
@@ -101,10 +123,11 @@ def _refined(todo: DataFrame, v: Variant, replies: Replies) -> DataFrame:
     if v.refiner == "rerank":
         each = todo.select("row_id", "mention", F.posexplode("candidates").alias("rank0", "c"))
         doc = prompts.tagged_text(F.col("c.hpo_id"), F.col("c.hpo_name"), F.col("c.hpo_synonyms"), F.col("c.hpo_def"), most=None)
-        scored = each.select("row_id", F.col("c.hpo_id").alias("concept_id"), yes_probability(F.col("mention"), doc).alias("score"))
+        pair = prompts.rerank_pair(RERANK, F.col("mention"), doc)
+        scored = each.select("row_id", F.col("c.hpo_id").alias("concept_id"), yes_probability(pair).alias("score"))
         m = retrieval.margins(retrieval.top_k(scored, ["row_id"], "score", "concept_id", 2), "row_id")
         return m.select("row_id", F.col("best_id").alias("refined"), F.col("margin").alias("sure"))
-    prompt = prompts.rendered(PROMPT, context=F.col("context"), mention=F.col("mention"), candidates=prompts.compact_candidates(F.col("candidates")))
+    prompt = prompts.rendered(v.prompt, context=F.col("context"), mention=F.col("mention"), candidates=prompts.compact_candidates(F.col("candidates")))
     asked = replies.over(todo.select("row_id", ids.alias("ids"), prompt.alias("prompt")), "prompt")
     choice = F.get(protocol.parse_indices("reply", F.size("ids")), F.lit(0))
     return asked.select("row_id", routing.valid(choice, F.col("ids")).alias("refined"), F.lit(None).cast("double").alias("sure"))
@@ -128,13 +151,14 @@ def run(samples: DataFrame, nodes: DataFrame, v: Variant, replies: Replies | Non
     if v.restrict_to_recalled:
         ask = ask.where("recalled")
     packed = retrieval.packed(retrieval.enriched(ranked, nodes), ["mention"])
-    refined = _refined(ask.select("row_id", "mention", F.substring("context", 1, 512).alias("context")).join(packed, "mention"), v, replies)
+    # written once: a model is called once for each row, however often the result is read
+    refined = materialize(_refined(ask.select("row_id", "mention", truncated("context").alias("context")).join(packed, "mention"), v, replies), "refined")
     rows = rows.join(refined, "row_id", "left")
     gate = routing.eval_gate(F.col("band"), F.col("best_id"), F.col("refined"), F.col("gold_id")) if v.mode == "oracle_eval" else routing.deploy_gate(F.col("band"), F.col("best_id"), F.col("refined"))
     if v.refiner == "rerank":
         gate = routing.rerank_gate(F.col("band"), F.col("best_id"), F.col("refined"), F.col("sure"), v.rerank_least)
     if v.refiner == "fuzzy_llm":
-        fuzzy = _candidate_fuzzy(rows.select("mention").distinct(), ranked, nodes)
+        fuzzy = _candidate_fuzzy(samples.select("mention").distinct(), ranked, nodes)
         rows = rows.join(fuzzy, "mention", "left")
         gate = routing.fuzzy_gate(F.col("band"), F.col("best_id"), F.col("fuzzy_margin"), F.col("fuzzy_best"), v.fuzzy_high, gate)
     source = F.when(gate.eqNullSafe(F.col("best_id")), "dual").otherwise(v.refiner)

@@ -47,6 +47,13 @@ def ontology_depth(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.with_depth(n.select(F.col("id").alias("concept_id")), depths).select("concept_id", "depth", "depth_norm")
 
 
+@query("ontology_root_depth", with_parts(*ONTOLOGY[:5], recursive=True) + "SELECT n.id AS concept_id, CAST(coalesce(min(cl.steps), 0) AS INTEGER) AS depth FROM n LEFT JOIN cl ON cl.descendant = n.id AND cl.ancestor = (SELECT min(id) FROM n WHERE name = 'All') GROUP BY n.id")
+def ontology_root_depth(spark: SparkSession, d: str) -> DataFrame:
+    n, pairs, _ = hierarchy_of(spark, d)
+    root = n.where("name = 'All'").agg(F.min("id")).first()[0]
+    return ontology.depths(n, pairs, root or "").select(F.col("id").alias("concept_id"), "depth")
+
+
 @query("alias_clones", with_parts(NODES, ALIASES) + "SELECT alias AS id, name, CAST(len(synonyms) AS INTEGER) AS n_synonyms FROM al JOIN n USING (id) UNION ALL SELECT id, name, CAST(len(synonyms) AS INTEGER) FROM n")
 def alias_clones(spark: SparkSession, d: str) -> DataFrame:
     return ontology.clones(nodes_of(spark, d)).select("id", "name", F.size("synonyms").alias("n_synonyms"))
@@ -86,13 +93,13 @@ def exact_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "refine_id_set",
-    with_parts(*ONTOLOGY[:5], "c AS (SELECT DISTINCT hint_id, coalesce(rs.id, x.i) AS concept_id FROM (SELECT hint_id, " + sql_id("hpo_id") + " AS i FROM candidates) x LEFT JOIN rs ON rs.any_id = x.i WHERE x.i IS NOT NULL)", recursive=True)
-    + "SELECT hint_id, concept_id FROM c WHERE NOT EXISTS (SELECT 1 FROM c o JOIN cl ON cl.descendant = o.concept_id WHERE o.hint_id = c.hint_id AND cl.ancestor = c.concept_id)",
+    with_parts(*ONTOLOGY, "c AS (SELECT DISTINCT hint_id, coalesce(rs.id, x.i) AS concept_id FROM (SELECT hint_id, " + sql_id("hpo_id") + " AS i FROM candidates) x LEFT JOIN rs ON rs.any_id = x.i WHERE x.i IS NOT NULL)", recursive=True)
+    + "SELECT hint_id, concept_id, coalesce(d.depth, 0) AS depth, CAST(row_number() OVER (PARTITION BY hint_id ORDER BY coalesce(d.depth, 0) DESC, concept_id) - 1 AS INTEGER) AS rank FROM c LEFT JOIN d ON d.id = c.concept_id WHERE NOT EXISTS (SELECT 1 FROM c o JOIN cl ON cl.descendant = o.concept_id WHERE o.hint_id = c.hint_id AND cl.ancestor = c.concept_id)",
 )
 def refine_id_set(spark: SparkSession, d: str) -> DataFrame:
-    n, pairs, _ = hierarchy_of(spark, d)
+    n, pairs, depths = hierarchy_of(spark, d)
     c = ontology.resolved(table(spark, d, "candidates").select("hint_id", "hpo_id"), "hpo_id", n)
-    return hierarchy.most_specific(c, "hint_id", pairs)
+    return hierarchy.most_specific(c, "hint_id", pairs, depths)
 
 
 @query(
@@ -114,26 +121,49 @@ def common_ancestor(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.common_ancestor(materialize(p, "concept-pairs"), pairs)
 
 
-_DEF = "CASE WHEN trim(definition) <> '' THEN trim(definition) END"
+DEFINITION = "CASE WHEN trim(definition) <> '' THEN trim(definition) END"
 
 
-@query("gold_text", with_parts(NODES) + f"SELECT id, concat_ws(' ', coalesce(name, '') || '.', {_DEF}, CASE WHEN len(synonyms) > 0 THEN 'Synonyms: ' || array_to_string(synonyms, ', ') || '.' END) AS gold_text FROM n")
+@query("gold_text", with_parts(NODES) + f"SELECT id, concat_ws(' ', coalesce(name, '') || '.', {DEFINITION}, CASE WHEN len(synonyms) > 0 THEN 'Synonyms: ' || array_to_string(synonyms, ', ') || '.' END) AS gold_text FROM n")
 def gold_text(spark: SparkSession, d: str) -> DataFrame:
     return nodes_of(spark, d).select("id", prompts.gold_text("name", "definition", "synonyms").alias("gold_text"))
 
 
-def _tagged(most: str) -> str:
+def sql_tagged(most: str, model: str | None = None, extra: str | None = None) -> str:
     syn = f"array_to_string(synonyms{most}, '; ')"
-    return f"concat_ws(chr(10), '[HPO_ID] ' || id, '[NAME] ' || CASE WHEN trim(name) <> '' THEN trim(name) END, CASE WHEN len(synonyms) > 0 THEN '[SYN] ' || {syn} END, '[DEF] ' || {_DEF})"
+    more = ""
+    if model:
+        more += f", CASE WHEN {f'{DEFINITION} IS NULL' if most else f'{model} IS DISTINCT FROM {DEFINITION}'} THEN '[LLM_DEF] ' || {model} END"
+    if extra:
+        more += f", '[ADD_DEF] ' || {extra}"
+    return f"concat_ws(chr(10), '[HPO_ID] ' || id, '[NAME] ' || coalesce(CASE WHEN trim(name) <> '' THEN trim(name) END, id), CASE WHEN len(synonyms) > 0 THEN '[SYN] ' || {syn} END, '[DEF] ' || {DEFINITION}{more})"
+
+
+# the ontology has no definitions by a model: its first synonym and its older ids stand in
+_MODEL, _EXTRA = "CASE WHEN trim(synonyms[1]) <> '' THEN trim(synonyms[1]) END", "nullif(array_to_string(list_sort(alt_ids), ' '), '')"
 
 
-@query("tagged_text", with_parts(NODES) + f"SELECT id, t AS tagged, CAST(CASE WHEN strpos(t, name) > 0 THEN strpos(t, name) - 1 ELSE 0 END AS INTEGER) AS c0, CAST(CASE WHEN strpos(t, name) > 0 THEN strpos(t, name) - 1 + length(name) ELSE 0 END AS INTEGER) AS c1 FROM (SELECT *, {_tagged('[1:3]')} AS t FROM n)")
+def _with_model(n: DataFrame) -> DataFrame:
+    return n.withColumn("model", F.get("synonyms", F.lit(0))).withColumn("extra", F.array_join(F.array_sort("alt_ids"), " "))
+
+
+@query("tagged_text", with_parts(NODES) + f"SELECT id, t AS tagged, CAST(CASE WHEN strpos(t, name) > 0 THEN strpos(t, name) - 1 ELSE 0 END AS INTEGER) AS c0, CAST(CASE WHEN strpos(t, name) > 0 THEN strpos(t, name) - 1 + length(name) ELSE length(t) END AS INTEGER) AS c1 FROM (SELECT *, {sql_tagged('[1:3]', _MODEL, _EXTRA)} AS t FROM n)")
 def tagged_text(spark: SparkSession, d: str) -> DataFrame:
-    t = nodes_of(spark, d).withColumn("tagged", prompts.tagged_text("id", "name", "synonyms", "definition"))
+    t = _with_model(nodes_of(spark, d)).withColumn("tagged", prompts.tagged_text("id", "name", "synonyms", "definition", "extra", model="model"))
     s = prompts.name_span(F.col("tagged"), "name")
     return t.select("id", "tagged", s["c0"].alias("c0"), s["c1"].alias("c1"))
 
 
-@query("prompt_text", with_parts(NODES) + f"SELECT id, {_tagged('')} AS prompt_text FROM n")
+@query("prompt_text", with_parts(NODES) + f"SELECT id, {sql_tagged('', _MODEL, _EXTRA)} AS prompt_text FROM n")
 def prompt_text(spark: SparkSession, d: str) -> DataFrame:
-    return nodes_of(spark, d).select("id", prompts.tagged_text("id", "name", "synonyms", "definition", most=None).alias("prompt_text"))
+    return _with_model(nodes_of(spark, d)).select("id", prompts.tagged_text("id", "name", "synonyms", "definition", "extra", most=None, model="model").alias("prompt_text"))
+
+
+@query("prompt_info", with_parts(NODES) + "SELECT id AS hpo_id, CASE WHEN trim(name) <> '' THEN name ELSE id END AS hpo_name, CASE WHEN trim(definition) <> '' THEN definition ELSE '' END AS hpo_def, CAST(len(synonyms) AS INTEGER) AS n_synonyms FROM n")
+def prompt_info(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of each entry under another of the keys they may stand under."""
+    n = nodes_of(spark, d)
+    odd = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    record = F.when(odd, F.create_map(F.lit("label"), F.array("name"), F.lit("def"), F.array("definition"), F.lit("synonym"), "synonyms")).otherwise(F.create_map(F.lit("Name"), F.array("name"), F.lit("Def"), F.array("definition"), F.lit("Synonym"), "synonyms"))
+    x = n.select(prompts.prompt_info(record, "id").alias("x"))
+    return x.select("x.hpo_id", "x.hpo_name", "x.hpo_def", F.size("x.hpo_synonyms").alias("n_synonyms"))

@@ -10,8 +10,8 @@ from termloom.functions.text import norm, norm_id, polarity
 from termloom.operators import metrics, routing
 from termloom.operators.delivery import latest
 from termloom.plans import pipeline
-from termloom.plans.q_ontology import nodes_of
-from termloom.plans.registry import ALIASES, HINTS, NODES, REQUESTS, RESOLVER, SAMPLES, query, sql_id, sql_norm, with_parts
+from termloom.plans.q_ontology import DEFINITION, nodes_of, sql_tagged
+from termloom.plans.registry import ALIASES, HINTS, NODES, REQUESTS, RESOLVER, SAMPLES, query, sql_id, sql_norm, sql_polarity, with_parts
 from termloom.session import materialize, table
 from termloom.sources import ontology, sinks
 
@@ -84,7 +84,7 @@ def request_bands(spark: SparkSession, d: str) -> DataFrame:
     return x.select("hint_id", "margin", routing.band(F.col("margin"), F.col("tau_low") / scale, F.col("tau_high") / scale).alias("band"))
 
 
-@query("hint_queries", with_parts(HINTS) + f"SELECT req_id, sid, CASE WHEN count(*) FILTER (hint_en IS NOT NULL AND lower(trim(polarity)) IN ('present', 'pos', 'positive', 'yes', 'y')) > 0 THEN count(*) FILTER (hint_en IS NOT NULL AND lower(trim(polarity)) IN ('present', 'pos', 'positive', 'yes', 'y')) ELSE 1 END AS n_queries FROM h GROUP BY req_id, sid")
+@query("hint_queries", with_parts(HINTS) + f"SELECT req_id, sid, CASE WHEN count(*) FILTER (hint_en IS NOT NULL AND {sql_polarity('polarity')} = 'present') > 0 THEN count(*) FILTER (hint_en IS NOT NULL AND {sql_polarity('polarity')} = 'present') ELSE 1 END AS n_queries FROM h GROUP BY req_id, sid")
 def hint_queries(spark: SparkSession, d: str) -> DataFrame:
     h = latest(table(spark, d, "hints"), "hint_id", "logged_at", "req_id", "sid", "mention", "hint_en", "polarity")
     hints = F.filter(F.collect_list(F.struct("hint_en", polarity("polarity").alias("polarity"))), lambda x: x["hint_en"].isNotNull())
@@ -99,7 +99,7 @@ def hint_queries(spark: SparkSession, d: str) -> DataFrame:
 def parse_indices(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "candidates").where("hint_id is not null").groupBy("hint_id").agg(F.count("*").cast("int").alias("n"))
     m = F.col("hint_id") % 6
-    reply = F.when(m == 0, (F.col("n") - 1).cast("string")).when(m == 1, " 0,99,0 ").when(m == 2, "1,0,1,-1").when(m == 3, "-1").when(m == 4, "[0]").otherwise("")
+    reply = F.when(m == 0, (F.col("n") - 1).cast("string")).when(m == 1, "\t0,99,0\u00a0\n").when(m == 2, "1,0,1,-1").when(m == 3, "-1").when(m == 4, "[0]").otherwise("")
     return c.select("hint_id", "n", protocol.parse_indices(reply, F.col("n")).alias("chosen"))
 
 
@@ -111,7 +111,7 @@ def refine_choice(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cand_id", protocol.refine_choice(reply, F.array(F.lit("HP:0000000"), F.coalesce("hpo_id", F.lit("?")))).alias("choice"))
 
 
-HINT_ROWS = f"hh AS (SELECT req_id, sid, {sql_norm('hint_en')} AS t, CASE WHEN lower(trim(polarity)) IN ('present', 'pos', 'positive', 'yes', 'y') THEN 'present' ELSE 'other' END AS p FROM h WHERE trim(hint_en) <> '' AND {sql_norm('hint_en')} <> '')"
+HINT_ROWS = f"hh AS (SELECT req_id, sid, {sql_norm('hint_en')} AS t, CASE WHEN {sql_polarity('polarity')} = 'present' THEN 'present' ELSE 'other' END AS p FROM h WHERE trim(hint_en) <> '' AND {sql_norm('hint_en')} <> '')"
 
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
@@ -139,13 +139,24 @@ def parse_json_hints(spark: SparkSession, d: str) -> DataFrame:
     return x.select("req_id", "sid", "x.ok", F.size("x.hints").alias("n_hints"), F.array_join(F.array_sort(F.transform("x.hints", lambda y: y["hint_en"])), "|").alias("hints"))
 
 
-@query("request_stats", with_parts(HINTS, REQUESTS, "f AS (SELECT req_id, count(DISTINCT sid) AS n FROM fragments GROUP BY req_id)", "e AS (SELECT req_id, count(*) AS n, count(*) FILTER (hint_en IS NULL) AS missing FROM h GROUP BY req_id)") + "SELECT client, count(*) AS requests, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS sentences, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS hints, CAST(coalesce(sum(e.missing), 0) AS BIGINT) AS missing, count(*) FILTER (src IS NULL OR trim(src) = '') AS blank FROM q LEFT JOIN f USING (req_id) LEFT JOIN e USING (req_id) GROUP BY client")
+@query(
+    "request_stats",
+    with_parts(
+        HINTS, REQUESTS, HINT_ROWS, "f AS (SELECT req_id, count(DISTINCT sid) AS n FROM fragments GROUP BY req_id)", "e AS (SELECT req_id, count(*) AS n, count(*) FILTER (hint_en IS NULL) AS missing FROM h GROUP BY req_id)",
+        "r AS (SELECT req_id, count(*) FILTER (sid % 5 = 4) AS failed, count(*) FILTER (sid % 5 <> 4 AND req_id % 3 = 0) AS no_end FROM (SELECT DISTINCT req_id, sid FROM hh) GROUP BY req_id)",
+    ) + "SELECT client, count(*) AS requests, CAST(coalesce(sum(f.n), 0) AS BIGINT) AS sentences, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS hints, CAST(coalesce(sum(e.missing), 0) AS BIGINT) AS missing, count(*) FILTER (src IS NULL OR trim(src) = '') AS blank, CAST(coalesce(sum(r.failed), 0) AS BIGINT) AS failed, CAST(coalesce(sum(r.no_end), 0) AS BIGINT) AS missing_end FROM q LEFT JOIN f USING (req_id) LEFT JOIN e USING (req_id) LEFT JOIN r USING (req_id) GROUP BY client",
+)
 def request_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by client; of the replies for its sentences, made up as ``_replies``, every fifth call fails."""
     q = latest(table(spark, d, "requests"), "req_id", "loaded_at", "client", "src")
     f = table(spark, d, "fragments").groupBy("req_id").agg(F.countDistinct("sid").alias("s"))
     h = latest(table(spark, d, "hints"), "hint_id", "logged_at", "req_id", "hint_en").groupBy("req_id").agg(F.count("*").alias("n"), F.count_if(F.col("hint_en").isNull()).alias("m"))
+    reply = F.when(F.col("sid") % 5 != 4, F.col("reply"))
+    p = _replies(spark, d).select("req_id", protocol.parse_protocol(reply, "tab", repair=False).alias("p"))
+    r = p.groupBy("req_id").agg(F.count_if(~F.col("p.ok")).alias("bad"), F.count_if(F.col("p.ok") & ~F.col("p.saw_end")).alias("open"))
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
-    return q.join(f, "req_id", "left").join(h, "req_id", "left").groupBy("client").agg(F.count("*").alias("requests"), total("s", "sentences"), total("n", "hints"), total("m", "missing"), F.count_if(F.col("src").isNull() | (F.trim("src") == "")).alias("blank"))
+    every = q.join(f, "req_id", "left").join(h, "req_id", "left").join(r, "req_id", "left").groupBy("client")
+    return every.agg(F.count("*").alias("requests"), total("s", "sentences"), total("n", "hints"), total("m", "missing"), F.count_if(F.col("src").isNull() | (F.trim("src") == "")).alias("blank"), total("bad", "failed"), total("open", "missing_end"))
 
 
 def samples_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -164,5 +175,43 @@ def _pipeline(name: str):
     return run
 
 
-for _name in pipeline.VARIANTS:
-    query(f"pipeline_{_name}")(_pipeline(_name))
+def _words(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+def sql_pipeline(v: pipeline.Variant) -> str | None:
+    """A variant with dense retrieval over the stand-ins' vectors and replies; None for what SQL cannot say."""
+    if v.retriever != "dense" or v.refiner == "fuzzy_llm" or v.hierarchy:
+        return None
+    plain = f"concat_ws(' ', coalesce(name, '') || '.', {DEFINITION}, CASE WHEN len(synonyms) > 0 THEN 'Synonyms: ' || array_to_string(synonyms, ', ') || '.' END)"
+    chosen = {
+        "none": "ch AS (SELECT NULL::VARCHAR AS mention, NULL::VARCHAR AS refined, NULL::DOUBLE AS sure LIMIT 0)",
+        "llm": f"wd AS (SELECT mention, concept_id, rank, len(list_intersect({_words('mention')}, {_words('name')})) AS k FROM rk JOIN n ON n.id = rk.concept_id), ch AS (SELECT mention, arg_min(concept_id, -k * 1000 + rank) AS refined, NULL::DOUBLE AS sure FROM wd WHERE k > 0 GROUP BY mention)",
+        "rerank": f"yp AS (SELECT mention, concept_id, round((len(list_intersect({_words('mention')}, {_words(sql_tagged(''))})) + 0.5::DOUBLE) / (len({_words('mention')}) + 1), 6) AS y FROM rk JOIN n ON n.id = rk.concept_id WHERE len({_words('mention')}) > 0 UNION ALL SELECT mention, concept_id, 0.5 FROM rk WHERE len({_words('mention')}) = 0), yr AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY y DESC, concept_id) AS r FROM yp), ch AS (SELECT mention, max(concept_id) FILTER (r = 1) AS refined, round(CASE WHEN max(y) FILTER (r = 2) IS NULL THEN 0 ELSE max(y) FILTER (r = 1) - max(y) FILTER (r = 2) END, 6) AS sure FROM yr WHERE r <= 2 GROUP BY mention)",
+    }[v.refiner]
+    gate = "CASE WHEN band = 'EASY' THEN best_id ELSE coalesce(refined, best_id) END"
+    if v.mode == "oracle_eval":
+        gate = "CASE WHEN band = 'EASY' THEN best_id WHEN band = 'HARD' THEN coalesce(refined, best_id) WHEN refined = gold THEN refined ELSE best_id END"
+    if v.refiner == "rerank":
+        gate = f"CASE WHEN band = 'EASY' THEN best_id WHEN band = 'HARD' OR sure >= {v.rerank_least} THEN coalesce(refined, best_id) ELSE best_id END"
+    asked = "w.recalled" if v.restrict_to_recalled else "true"
+    rate = lambda c: f"round(count(*) FILTER ({c}) / count(*), 6)"
+    return with_parts(
+        SAMPLES, NODES, ALIASES, RESOLVER,
+        f"sm AS (SELECT sample_id, dataset, mention, coalesce(rs.id, {sql_id('gold_id')}) AS gold FROM s LEFT JOIN rs ON rs.any_id = {sql_id('gold_id')})",
+        f"tx AS (SELECT DISTINCT 'm' AS kind, mention AS id, mention AS t FROM sm WHERE mention <> '' UNION ALL SELECT 'c', id, {plain if v.text == 'plain' else sql_tagged('[1:3]')} FROM n)",
+        "tg AS (SELECT kind, id, substr(u, CAST(i AS INTEGER), 3) AS g FROM (SELECT kind, id, u, unnest(range(1, length(u) - 1)) AS i FROM (SELECT kind, id, '  ' || lower(t) || ' ' AS u FROM tx)))",
+        "gh AS (SELECT g, h % 256 AS place, CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END AS sign FROM (SELECT g, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT g FROM tg)))",
+        "pl AS (SELECT kind, id, place, sum(sign)::DOUBLE AS x FROM tg JOIN gh USING (g) GROUP BY ALL)",
+        "vc AS (SELECT kind, id, place, (x / sqrt(sum(x * x) OVER (PARTITION BY kind, id)))::FLOAT::DOUBLE AS x FROM pl WHERE x <> 0)",
+        "dt AS (SELECT a.id AS mention, b.id AS concept_id, round(sum(a.x * b.x), 6) AS score FROM vc a JOIN vc b USING (place) WHERE a.kind = 'm' AND b.kind = 'c' GROUP BY ALL)",
+        f"rk AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC, concept_id) - 1 AS INTEGER) AS rank FROM dt) WHERE rank < {v.k})",
+        "mg AS (SELECT mention, max(concept_id) FILTER (rank = 0) AS best_id, round(CASE WHEN max(score) FILTER (rank = 1) IS NULL THEN 0 ELSE max(score) FILTER (rank = 0) - max(score) FILTER (rank = 1) END, 6) AS margin FROM rk GROUP BY mention)",
+        chosen,
+        f"w AS (SELECT sm.*, best_id, CASE WHEN margin >= {v.high} THEN 'EASY' WHEN margin IS NULL OR margin <= {v.low} THEN 'HARD' ELSE 'MEDIUM' END AS band, EXISTS (SELECT 1 FROM rk WHERE rk.mention = sm.mention AND rk.concept_id = sm.gold) AS recalled FROM sm LEFT JOIN mg USING (mention))",
+        f"fi AS (SELECT *, {gate} AS final_id FROM (SELECT w.*, CASE WHEN {asked} THEN ch.refined END AS refined, ch.sure FROM w LEFT JOIN ch USING (mention)))",
+    ) + f"SELECT CASE WHEN grouping(ds) = 1 THEN '_GLOBAL' ELSE ds END AS dataset, count(*) AS total, {rate('best_id = gold')} AS dual_top1, {rate('final_id = gold')} AS final_top1, {rate("band <> 'EASY'")} AS call_rate, {rate('recalled')} AS recall FROM (SELECT *, coalesce(dataset, 'none') AS ds FROM fi) GROUP BY ROLLUP (ds)"
+
+
+for _name, _variant in pipeline.VARIANTS.items():
+    query(f"pipeline_{_name}", sql_pipeline(_variant))(_pipeline(_name))

@@ -9,7 +9,7 @@ from termloom.functions import protocol, text
 from termloom.operators import chunking, sampling, spans
 from termloom.operators.delivery import latest
 from termloom.operators.metrics import set_prf
-from termloom.plans.registry import HINTS, REQUESTS, SAMPLES, query, sql_id, sql_norm, with_parts
+from termloom.plans.registry import HINTS, REQUESTS, SAMPLES, query, sql_id, sql_norm, sql_polarity, sql_strip, with_parts
 from termloom.session import table
 from termloom.sources import annotations
 
@@ -76,7 +76,18 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", "w.start", F.size("w.tokens").alias("n_tokens"), F.get("w.tokens", F.lit(0)).alias("first_token"))
 
 
-@query("bioes_round_trip")
+TOKENS = (
+    "x AS (SELECT sample_id, context, c0, c1 FROM s WHERE context IS NOT NULL AND c1 > c0)",
+    "p AS (SELECT sample_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT sample_id, regexp_extract_all(context, '[\\s\\pZ\\x{85}]+|[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]+|[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}\\s\\pZ\\x{85}]') AS l FROM x))",
+    "o AS (SELECT sample_id, piece, i, sum(length(piece)) OVER (PARTITION BY sample_id ORDER BY i) AS b FROM p)",
+    "t AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY i) - 1 AS k, b - length(piece) AS a, b FROM o WHERE NOT regexp_matches(piece, '^[\\s\\pZ\\x{85}]'))",
+)
+
+
+@query(
+    "bioes_round_trip",
+    with_parts(SAMPLES, *TOKENS) + "SELECT sample_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(min(k) FILTER (b > c0 AND a < c1) AS INTEGER) AS i0, CAST(max(k) FILTER (b > c0 AND a < c1) AS INTEGER) AS i1, CAST(min(a) FILTER (b > c0 AND a < c1) AS INTEGER) AS c0, CAST(max(b) FILTER (b > c0 AND a < c1) AS INTEGER) AS c1 FROM t JOIN x USING (sample_id) GROUP BY sample_id",
+)
 def bioes_round_trip(spark: SparkSession, d: str) -> DataFrame:
     s = latest(table(spark, d, "samples"), "sample_id", "loaded_at", "context", "c0", "c1").where("context is not null and c1 > c0")
     t = s.withColumn("t", spans.tokens(F.col("context"))).where("size(t) > 0").withColumn("l", spans.bioes_labels(F.col("t"), F.array(F.struct("c0", "c1"))))
@@ -85,7 +96,7 @@ def bioes_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_id", "n_tokens", "s.i0", "s.i1", c["c0"].alias("c0"), c["c1"].alias("c1"))
 
 
-@query("polarity_policies", with_parts(HINTS, "p AS (SELECT CASE WHEN lower(trim(polarity)) IN ('present', 'pos', 'positive', 'yes', 'y') THEN 'present' WHEN lower(trim(polarity)) IN ('absent', 'neg', 'negative', 'no', 'n', 'denied', 'without', 'not_present') THEN 'absent' ELSE 'uncertain' END AS polarity FROM h)") + "SELECT polarity, count(*) AS n, count(*) FILTER (polarity = 'present') AS kept_present, count(*) FILTER (polarity <> 'absent') AS kept_not_absent FROM p GROUP BY polarity")
+@query("polarity_policies", with_parts(HINTS, f"p AS (SELECT {sql_polarity('polarity')} AS polarity FROM h)") + "SELECT polarity, count(*) AS n, count(*) FILTER (polarity = 'present') AS kept_present, count(*) FILTER (polarity <> 'absent') AS kept_not_absent FROM p GROUP BY polarity")
 def polarity_policies(spark: SparkSession, d: str) -> DataFrame:
     from termloom.operators.routing import keeps
 
@@ -99,7 +110,7 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.holdout(s, "dataset", "sample_id")
 
 
-@query("annotation_lines", with_parts(SAMPLES) + f"SELECT sample_id, base AS doc, c0, c1, trim(mention) AS mention, {sql_id('gold_id')} AS concept_id FROM s WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND trim(mention) <> '' AND regexp_matches(gold_id, '(?i)^HP[:_]\\d+$')")
+@query("annotation_lines", with_parts(SAMPLES) + f"SELECT sample_id, base AS doc, c0, c1, {sql_strip('mention')} AS mention, {sql_id('gold_id')} AS concept_id FROM s WHERE c0 IS NOT NULL AND c1 IS NOT NULL AND trim(mention) <> '' AND regexp_matches(gold_id, '(?i)^HP[:_]\\d+$')")
 def annotation_lines(spark: SparkSession, d: str) -> DataFrame:
     s = latest(table(spark, d, "samples"), "sample_id", "loaded_at", "base", "c0", "c1", "mention", "gold_id").where("c0 is not null and c1 is not null and trim(mention) <> ''").where(F.col("gold_id").rlike(r"^(?i)HP[:_]\d+$"))
     bracket = F.pmod(F.xxhash64("base"), F.lit(2)) == 0

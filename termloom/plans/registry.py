@@ -35,8 +35,17 @@ REQUESTS = latest_part("q", "requests", "req_id", "loaded_at")
 HINTS = latest_part("h", "hints", "hint_id", "logged_at")
 
 
+def sql_strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^[\s\pZ\x{{85}}]+|[\s\pZ\x{{85}}]+$', '', 'g')"
+
+
 def sql_id(c: str) -> str:
-    return f"nullif(upper(trim(replace({c}, '_', ':'))), '')"
+    return f"nullif(upper({sql_strip(f"replace({c}, '_', ':')")}), '')"
+
+
+def sql_polarity(c: str) -> str:
+    words = f"lower({sql_strip(c)})"
+    return f"CASE WHEN {words} IN ('present', 'pos', 'positive', 'yes', 'y') THEN 'present' WHEN {words} IN ('absent', 'neg', 'negative', 'no', 'n', 'denied', 'without', 'not_present') THEN 'absent' ELSE 'uncertain' END"
 
 
 def sql_norm(c: str) -> str:
@@ -52,7 +61,7 @@ NODES = f"n AS (SELECT {sql_id('hpo_id')} AS id, hpo_name AS name, list_filter({
 ALIASES = "al AS (SELECT alias, min(id) AS id FROM (SELECT unnest(alt_ids) AS alias, id FROM n) WHERE alias NOT IN (SELECT id FROM n) GROUP BY alias)"
 RESOLVER = "rs AS (SELECT id AS any_id, id FROM n UNION ALL SELECT alias, id FROM al)"
 EDGES = "e AS (SELECT DISTINCT a.id AS parent, b.id AS child FROM (SELECT id AS p, unnest(children) AS c FROM n UNION SELECT unnest(parents), id FROM n) x JOIN rs a ON a.any_id = x.p JOIN rs b ON b.any_id = x.c WHERE a.id <> b.id)"
-CLOSURE = "w AS (SELECT parent AS ancestor, child AS descendant, 1 AS steps FROM e UNION SELECT w.ancestor, e.child, w.steps + 1 FROM w JOIN e ON w.descendant = e.parent WHERE w.steps < 64), cl AS (SELECT ancestor, descendant, min(steps) AS steps FROM w GROUP BY ALL)"
+CLOSURE = "w AS (SELECT parent AS ancestor, child AS descendant, 1 AS steps FROM e UNION SELECT w.ancestor, e.child, w.steps + 1 FROM w JOIN e ON w.descendant = e.parent WHERE w.steps < (SELECT count(*) FROM n)), cl AS (SELECT ancestor, descendant, min(steps) AS steps FROM w GROUP BY ALL)"
 DEPTHS = "d AS (SELECT n.id, CAST(coalesce(min(cl.steps), 0) AS INTEGER) AS depth FROM n LEFT JOIN cl ON cl.descendant = n.id AND cl.ancestor NOT IN (SELECT descendant FROM cl) GROUP BY n.id)"
 ONTOLOGY = (NODES, ALIASES, RESOLVER, EDGES, CLOSURE, DEPTHS)
 LEXICON = f"lx AS (SELECT DISTINCT term, id FROM (SELECT {sql_norm('t')} AS term, id FROM (SELECT unnest(list_append(synonyms, name)) AS t, id FROM n)) WHERE term <> '')"

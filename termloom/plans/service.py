@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import prompts, protocol
-from termloom.functions.text import norm_id, polarity, simple_sentences
+from termloom.functions.text import norm_id, polarity, simple_sentences, truncated
 from termloom.operators import retrieval, routing
 from termloom.operators.delivery import latest
 from termloom.operators.metrics import ratio
 from termloom.plans.pipeline import PROMPT
 from termloom.plans.providers import Replies, overlap_choice
 from termloom.plans.q_ontology import nodes_of
-from termloom.plans.registry import ALIASES, HINTS, NODES, REQUESTS, RESOLVER, query, sql_id, with_parts
+from termloom.plans.registry import ALIASES, HINTS, NODES, REQUESTS, RESOLVER, query, sql_id, sql_polarity, with_parts
 from termloom.session import materialize, table
 from termloom.sources import ontology, sinks
 
@@ -47,7 +47,7 @@ def entities(hints: DataFrame, candidates: DataFrame, requests: DataFrame, nodes
     ranked = materialize(retrieval.top_k(candidates, ["hint_id"], "score", "concept_id", 35), "service-ranked")
     m = retrieval.margins(ranked, "hint_id").select("hint_id", "best_id", "margin")
     scale = F.when(F.col("tau_high") > 1, 100.0).otherwise(1.0)
-    taus = requests.select("req_id", (F.col("tau_low") / scale).alias("lo"), (F.col("tau_high") / scale).alias("hi"), F.substring("src", 1, 1200).alias("context"))
+    taus = requests.select("req_id", (F.col("tau_low") / scale).alias("lo"), (F.col("tau_high") / scale).alias("hi"), truncated("src", 1200).alias("context"))
     rows = kept.join(taus, "req_id").join(m, "hint_id", "left").withColumn("gate", routing.band(F.col("margin"), F.col("lo"), F.col("hi")))
     # only these are sent to the refiner
     jobs = rows.where("gate <> 'EASY' and best_id is not null")
@@ -59,7 +59,9 @@ def entities(hints: DataFrame, candidates: DataFrame, requests: DataFrame, nodes
     answers = asked.select("hint_id", routing.valid(choice, F.col("ids")).alias("refined"), F.col("error").isNull().alias("returned"))
     rows = rows.join(answers, "hint_id", "left")
     final, source = routing.service_gate(F.col("gate"), F.col("best_id"), F.coalesce("returned", F.lit(False)), F.col("refined"))
-    return rows.select("req_id", "sid", "hint_id", "mention", "polarity", "best_id", "margin", "gate", final.alias("final_id"), source.alias("final_source"))
+    out = rows.select("req_id", "sid", "hint_id", "mention", "polarity", "best_id", "margin", "gate", final.alias("final_id"), source.alias("final_source"))
+    # written once, so that however often it is read no prompt is sent again
+    return materialize(out, "service-entities")
 
 
 def answers(requests: DataFrame, found: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ SERVICE = (
     HINTS, REQUESTS, NODES, ALIASES, RESOLVER,
     f"c AS (SELECT hint_id, coalesce(rs.id, x.i) AS concept_id, max(x.score) AS score FROM (SELECT hint_id, {sql_id('hpo_id')} AS i, score FROM candidates WHERE score IS NOT NULL AND hpo_id IS NOT NULL) x LEFT JOIN rs ON rs.any_id = x.i GROUP BY ALL)",
     "m AS (SELECT hint_id, round(max(score) - coalesce(max(score) FILTER (r = 2), max(score)), 6) AS margin FROM (SELECT *, row_number() OVER (PARTITION BY hint_id ORDER BY score DESC, concept_id) AS r FROM c) GROUP BY hint_id)",
-    "e AS (SELECT q.client, h.hint_id, m.hint_id AS known, CASE WHEN margin >= CASE WHEN tau_high > 1 THEN tau_high / 100 ELSE tau_high END THEN 'EASY' WHEN margin IS NULL OR margin <= CASE WHEN tau_high > 1 THEN tau_low / 100 ELSE tau_low END THEN 'HARD' ELSE 'MEDIUM' END AS gate FROM h JOIN q USING (req_id) LEFT JOIN m ON m.hint_id = h.hint_id WHERE coalesce(hint_en, mention) IS NOT NULL AND NOT coalesce(lower(trim(polarity)) IN ('absent', 'neg', 'negative', 'no', 'n', 'denied', 'without', 'not_present'), false))",
+    f"e AS (SELECT q.client, h.hint_id, m.hint_id AS known, CASE WHEN margin >= CASE WHEN tau_high > 1 THEN tau_high / 100 ELSE tau_high END THEN 'EASY' WHEN margin IS NULL OR margin <= CASE WHEN tau_high > 1 THEN tau_low / 100 ELSE tau_low END THEN 'HARD' ELSE 'MEDIUM' END AS gate FROM h JOIN q USING (req_id) LEFT JOIN m ON m.hint_id = h.hint_id WHERE coalesce(hint_en, mention) IS NOT NULL AND {sql_polarity('polarity')} <> 'absent')",
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,15 +31,28 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
 
 
+#: Bytes of a written table that one task of Python work takes.
+TASK_BYTES = 32 << 20
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for Python work on a written table: by its bytes, and as many as there are cores for at least."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(parallelism(df.sparkSession), -(-int(str(size)) // TASK_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset, as
-    in local tests, a temporary folder is made and kept for the session.
+    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset and
+    the master is local, as in tests, a temporary folder is made and kept for the
+    session; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("termloom.local.dir", "") or "file://" + tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("termloom.local.dir", base)
     return base.rstrip("/")
@@ -49,7 +63,14 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/termloom-{spark.sparkContext.applicationId}"
 
 
+_to_clean: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path that nothing has been written to; what is written there goes when the driver's process ends."""
+    if (app := spark.sparkContext.applicationId) not in _to_clean:
+        _to_clean.add(app)
+        atexit.register(_clean_at_end, spark)
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -58,6 +79,14 @@ def clean(spark: SparkSession) -> None:
     drop_path(spark, own_dir(spark))
 
 
+def _clean_at_end(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clean(spark)
+    except Exception:  # noqa: BLE001 - the session may have ended in any way
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: the lineage is cut and survives lost executors."""
     spark = df.sparkSession

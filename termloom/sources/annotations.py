@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.text import ColumnOrName, col, norm_id
+from termloom.functions.text import ColumnOrName, norm_id, strip
 
+# The two styles of an annotation line.
 TAB_LINE = r"(?U)^(\d+)\s+(\d+)\s+(.*)\s+((?i)HP[:_]\d+)\s*$"
 BRACKET_LINE = r"(?U)^\[(\d+)::(\d+)\]\s*((?i)HP[_:]\d+)\s*\|\s*(.+?)\s*$"
 SPAN = "struct<c0:int,c1:int,mention:string,concept_id:string>"
 
 
 def _span(c0: Column, c1: Column, mention: Column, cid: Column) -> Column:
-    return F.struct(c0.try_cast("int").alias("c0"), c1.try_cast("int").alias("c1"), F.trim(mention).alias("mention"), norm_id(cid).alias("concept_id"))
+    return F.struct(c0.try_cast("int").alias("c0"), c1.try_cast("int").alias("c1"), strip(mention).alias("mention"), norm_id(cid).alias("concept_id"))
 
 
 def tab_line(line: ColumnOrName) -> Column:
@@ -22,7 +23,7 @@ def tab_line(line: ColumnOrName) -> Column:
     A line that the pattern does not take is read as words: two numbers, the
     mention, the id.
     """
-    s = F.trim(col(line))
+    s = strip(line)
     g = [F.regexp_extract(s, TAB_LINE, i) for i in range(1, 5)]
     words = F.split(s, r"(?U)\s+")
     n = F.size(words)
@@ -32,13 +33,13 @@ def tab_line(line: ColumnOrName) -> Column:
 
 def bracket_line(line: ColumnOrName) -> Column:
     """The same of ``[27::42]  HP_0000001 | mention``."""
-    s = F.trim(col(line))
+    s = strip(line)
     g = [F.regexp_extract(s, BRACKET_LINE, i) for i in range(1, 5)]
     return F.when(s.rlike(BRACKET_LINE), _span(g[0], g[1], g[3], g[2]))
 
 
 def is_bracket_style(first_line: ColumnOrName) -> Column:
-    s = F.trim(col(first_line))
+    s = strip(first_line)
     return s.startswith("[") & s.contains("::")
 
 
@@ -48,7 +49,7 @@ def parse_lines(lines: DataFrame, doc: str = "doc", pos: str = "pos", line: str
     The style of a document is that of its first line that is not blank.  Blank
     and malformed lines are left out.
     """
-    full = lines.where(F.trim(line) != "")
+    full = lines.where(strip(line) != "")
     style = full.groupBy(doc).agg(is_bracket_style(F.min_by(line, pos)).alias("_bracket"))
     parsed = full.join(style, doc).withColumn("a", F.when(F.col("_bracket"), bracket_line(line)).otherwise(tab_line(line)))
     return parsed.where("a is not null").select(doc, pos, "a.c0", "a.c1", "a.mention", "a.concept_id")

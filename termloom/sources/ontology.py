@@ -6,6 +6,7 @@ children, all ids in the usual spelling.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +17,6 @@ from termloom.functions.text import norm, norm_id
 from termloom.session import drop_path, fresh_path, materialize
 
 STRINGS = "array<string>"
-#: Rounds of a graph walk; beyond it the graph has a cycle that the walk would never leave.
-DEEPEST = 64
 #: Edges that one task may walk; a larger graph is walked by the cluster, round by round.
 SMALL_GRAPH = 100_000
 
@@ -120,7 +119,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for start in sorted(below):
         seen: dict[str, int] = {}
         level, k = below[start], 1
-        while level and k < DEEPEST:
+        while level:
             seen.update(dict.fromkeys(level, k))
             level, k = {c for p in level for c in below.get(p, ())} - seen.keys(), k + 1
         rows.extend((start, c, n) for c, n in seen.items())
@@ -146,7 +145,7 @@ def closure(e: DataFrame) -> DataFrame:
     at = fresh_path(spark, "closure")
     frontier = e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("steps"))
     frontier.write.parquet(f"{at}/round=1")
-    for k in range(2, DEEPEST):
+    for k in itertools.count(2):
         known = spark.read.schema(PAIRS).parquet(*[f"{at}/round={i}" for i in range(1, k)])
         last = spark.read.schema(PAIRS).parquet(f"{at}/round={k - 1}")
         new = last.join(e, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant")).distinct()
@@ -158,10 +157,14 @@ def closure(e: DataFrame) -> DataFrame:
     return spark.read.schema(PAIRS).parquet(*[f"{at}/round={i}" for i in range(1, k)])
 
 
-def depths(n: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, depth): steps from a root (a node without parents) by the shortest way; a node that none reaches has 0."""
-    roots = n.join(pairs.select(F.col("descendant").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("ancestor"))
-    d = pairs.join(roots, "ancestor").groupBy(F.col("descendant").alias("id")).agg(F.min("steps").alias("depth"))
+def depths(n: DataFrame, pairs: DataFrame, root: str | None = None) -> DataFrame:
+    """(id, depth): steps by the shortest way from the node ``root``, or from any node without parents; a node that none reaches has 0."""
+    if root is None:
+        roots = n.join(pairs.select(F.col("descendant").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("ancestor"))
+        pairs = pairs.join(roots, "ancestor")
+    else:
+        pairs = pairs.where(F.col("ancestor") == norm_id(F.lit(root)))
+    d = pairs.groupBy(F.col("descendant").alias("id")).agg(F.min("steps").alias("depth"))
     return n.select("id").join(d, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 

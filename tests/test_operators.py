@@ -205,3 +205,117 @@ def test_service_answers(spark):
     assert service.computed_once(spark.createDataFrame([("a",), ("a",), (None,)], "t string"), "t", "u", F.upper).count() == 3
     e = service.extracted(spark.createDataFrame([(1, "SENT_EN\tx\nHINT\tbig ears\tyes\tp\nEND"), (2, "?")], "req_id int, reply string"))
     assert [(x["req_id"], x["hint_en"], x["polarity"]) for x in e.collect()] == [(1, "big ears", "present")]
+
+
+def test_holdout_is_the_first_digests(spark):
+    import hashlib
+
+    rows = [(i, "g" if i % 3 else None if i % 2 else "h") for i in range(500)]
+    got = {r["id"] for r in sampling.holdout(spark.createDataFrame(rows, "id int, grp string"), "grp", "id", 0.13).where("held").collect()}
+    want = set()
+    for g in ("g", "h", None):
+        ids = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i, x in rows if x == g)
+        want |= {i for _, i in ids[: max(1, int(len(ids) * 0.13 + 0.5))]}
+    assert got == want
+    assert sampling.holdout(spark.createDataFrame([], "id int, grp string"), "grp", "id").count() == 0
+
+
+def test_hard_examples_of_the_first(spark):
+    df = spark.createDataFrame([(i, float(50 - i)) for i in range(50)], "id int, m double")
+    assert [r["id"] for r in sampling.hard_examples(df, "m", "id", 3, "first_margin").collect()] == [14, 13, 12]
+    assert [r["id"] for r in sampling.hard_examples(df, "m", "id", 3).collect()] == [49, 48, 47]
+
+
+def counting(folder):
+    """A model that notes each call in a folder."""
+    folder = str(folder)
+
+    def call(prompt):
+        import uuid
+        from pathlib import Path
+
+        from termloom.plans.providers import overlap_choice
+
+        (Path(folder) / uuid.uuid4().hex).write_text(prompt)
+        return overlap_choice(prompt)
+
+    return call
+
+
+def test_models_are_called_once(spark, tmp_path):
+    from termloom.plans import service
+
+    n = ontology.nodes(spark.createDataFrame([(f"HP:{i}", x, None, None, None, None, None) for i, x in enumerate(("Big ears", "Small feet", "Big feet"))], "hpo_id string, hpo_name string, hpo_synonyms array<string>, hpo_def string, alt_ids array<string>, father array<string>, child array<string>"))
+    q = spark.createDataFrame([(1, "He has small feet. Big ears too.", 5.0, 90.0)], "req_id long, src string, tau_low double, tau_high double")
+    h = spark.createDataFrame([(7, 1, 0, "feet", "small feet", "yes"), (8, 1, 1, "ears", "big ears", "yes")], "hint_id long, req_id long, sid int, mention string, hint_en string, polarity string")
+    c = spark.createDataFrame([(k, f"HP:{i}", 0.5) for k in (7, 8) for i in (0, 1)], "hint_id long, concept_id string, score double")
+    (tmp_path / "s").mkdir()
+    found = service.entities(h, c, q, n, Replies(counting(tmp_path / "s")))
+    service.answers(q, found).collect()
+    found.collect()
+    assert len(list((tmp_path / "s").iterdir())) == 2
+    s = spark.createDataFrame([(i, "d", "c", m, "HP:1") for i, m in enumerate(("big ears or feet", "feet small", "toe"))], "row_id int, dataset string, context string, mention string, gold_id string")
+    for name, v in pipeline.VARIANTS.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        v = pipeline.variant(name, high=2.0 * v.points, fuzzy_high=2.0)
+        out = pipeline.run(s, n, v, Replies(counting(folder)))
+        out.collect()
+        asked = pipeline.report(out).where("dataset = '_GLOBAL'").first() and out.where("best_id is not null" + (" and recalled" if v.restrict_to_recalled else "")).count()
+        assert len(list(folder.iterdir())) == (asked if v.refiner in ("llm", "fuzzy_llm") else 0), name
+
+
+def test_fused_variant_prunes_and_reranks(spark):
+    n = ontology.nodes(spark.createDataFrame([("HP:1", "Ear", None, None, None, [], ["HP:2"]), ("HP:2", "Big ear", None, None, None, ["HP:1"], []), ("HP:3", "Foot", None, None, None, [], [])], "hpo_id string, hpo_name string, hpo_synonyms array<string>, hpo_def string, alt_ids array<string>, father array<string>, child array<string>"))
+    got = pipeline.retrieve(spark.createDataFrame([("big ear",)], "mention string"), n, pipeline.VARIANTS["fused"]).orderBy("rank").collect()
+    # the parent falls: its descendant is kept with a score that is no lower
+    assert [r["concept_id"] for r in got][0] == "HP:2" and "HP:1" not in [r["concept_id"] for r in got]
+
+
+def test_batches_and_taggers(spark):
+    from termloom.plans.providers import BatchReplies, tagged_spans
+
+    def call(ps):
+        if any("bad" in p for p in ps):
+            raise ValueError("no")
+        return [p.upper() for p in ps]
+
+    df = spark.createDataFrame([("a",), ("a",), ("bb",), (None,), ("bad",)], "p string").coalesce(1)
+    got = sorted((r["p"] or "", r["reply"], r["error"]) for r in BatchReplies(call, 2).over(df, "p").collect())
+    assert got == [("", None, None), ("a", "A", None), ("a", "A", None), ("bad", "", "ValueError: no"), ("bb", "BB", None)]
+
+    def tag(t):
+        return ([(0, 0), (0, 2), (3, 7), (7, 8), (0, 0)], [4, 0, 1, 3, 4])  # special tokens at both ends
+
+    from termloom.sources.config import LABELS
+
+    rows = tagged_spans(spark.createDataFrame([(1, "an earl,"), (2, None)], "k int, t string"), "k", "t", tag, LABELS).collect()
+    assert [tuple(r) for r in rows] == [(1, 3, 8, "earl")]
+
+
+def test_spans_and_near(spark):
+    df = spark.createDataFrame([(1, -2, 3), (1, 0, 3), (1, 4, 4), (1, 2, 99), (2, 5, 3)], "d int, c0 int, c1 int")
+    assert sorted(map(tuple, spans.valid_spans(df, "c0", "c1", F.lit(10), "d").collect())) == [(1, 0, 3), (1, 2, 10)]
+    pairs, _, _ = tree(spark)
+    c = spark.createDataFrame([("a11", "a2"), ("b", "a2"), ("a2", "a2")], "concept_id string, target string").withColumn("g", F.lit(1))
+    assert {(r["concept_id"], r["distance"]) for r in hierarchy.near(c, "g", "target", pairs, 3).collect()} == {("a11", 3), ("b", 3), ("a2", 0)}
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from termloom.session import shared_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf, getCheckpointDir = Conf, lambda self: None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())

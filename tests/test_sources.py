@@ -54,6 +54,32 @@ def test_cycle_ends(spark, monkeypatch):
     assert sorted(map(tuple, ontology.closure(e.unionByName(e.selectExpr("child parent", "'d' child"))).collect())) == small
 
 
+def test_long_chain(spark, monkeypatch):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)], "parent string, child string")
+    assert ontology.closure(e).agg(F.count("*"), F.max("steps")).first()[:] == (5050, 100)
+    n = spark.createDataFrame([(f"HP:{i}",) for i in range(3)], "id string")
+    p = ontology.closure(spark.createDataFrame([("HP:0", "HP:1"), ("HP:1", "HP:2")], "parent string, child string"))
+    assert sorted((r["id"], r["depth"]) for r in ontology.depths(n, p, "hp_1").collect()) == [("HP:0", 0), ("HP:1", 0), ("HP:2", 1)]
+    monkeypatch.setattr(ontology, "SMALL_GRAPH", -1)
+    e = e.where("length(parent) = 2")
+    assert ontology.closure(e).agg(F.count("*"), F.max("steps")).first()[:] == (55, 10)
+
+
+def test_config(tmp_path):
+    import pytest
+
+    from termloom.sources import config
+
+    (tmp_path / "p.txt").write_text("Ask {{mention}}\n")
+    assert config.load_prompt(str(tmp_path / "p.txt")) == "Ask {{mention}}\n"
+    with pytest.raises(FileNotFoundError):
+        config.load_prompt(str(tmp_path / "none"))
+    (tmp_path / "l.json").write_text(json.dumps({"id2label": {"0": "O", "1": "S-X"}}))
+    assert config.load_labels(str(tmp_path / "l.json")) == {0: "O", 1: "S-X"}
+    (tmp_path / "l.json").write_text("{}")
+    assert config.load_labels(str(tmp_path / "l.json")) == config.load_labels(None) == config.LABELS
+
+
 def test_annotation_lines(spark):
     rows = [("t", 0, ""), ("t", 1, "88\t115\tdecrease in fetal movements\tHP:0001558"), ("t", 2, "no line"), ("t", 3, "1 5 abc hp_0000002"), ("b", 0, "[27::42]  HP_0000110 | renal dysplasia"), ("b", 1, "88 115 x HP:0000001")]
     got = annotations.parse_lines(spark.createDataFrame(rows, "doc string, pos int, line string"))

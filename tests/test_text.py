@@ -75,10 +75,23 @@ def test_chunks():
 
 
 def test_parse_indices(spark):
-    for reply, want in (("0", [0]), ("-1", []), ("2,2,9,1", [2, 1]), ("[0]", []), ("", []), ("1,,x", []), ("3,-2", [3])):
+    for reply, want in (("0", [0]), ("-1", []), ("2,2,9,1", [2, 1]), ("[0]", []), ("", []), ("1,,x", []), ("3,-2", [3]), ("\n0", [0]), ("\t2\u00a0\r\n", [2]), (None, [])):
         assert one(spark, protocol.parse_indices("t", F.lit(5)), t=reply) == want
 
 
+def test_polarity(spark):
+    for word, want in (("present\t", "present"), ("\u00a0Denied\n", "absent"), ("maybe", "uncertain"), (None, "uncertain")):
+        assert one(spark, text.polarity("t"), t=word) == want
+    assert one(spark, text.polarity("t", None), t=" maybe\t") == "maybe"
+
+
+def test_many_pieces(spark):
+    t = "ab. " * 3000
+    got = one(spark, text.simple_sentences("t"), t=t)
+    assert len(got) == 3000 and all(t[r["c0"] : r["c1"]] == r["src"] and r["sid"] == i for i, r in enumerate(got))
+    assert len(one(spark, spans.tokens(F.col("t")), t=t)) == 6000
+
+
 def test_refine_choice(spark):
     ids = F.array(F.lit("HP:0000001"), F.lit("HP:0000002"))
     for reply, want in (("INDEX: 7", 7), ("take HP:0000002", 1), ("HP:0000009 or so", 9), ("number 3", 3), ("none", None), ("index = -1", -1)):
@@ -123,6 +136,14 @@ def test_prompts(spark):
     n = spark.createDataFrame([("HP:1", "Name", ["a", "a", " ", "b", "c", "d"], None)], "id string, name string, syn array<string>, d string")
     assert n.select(prompts.gold_text("name", "d", "syn")).first()[0] == "Name. Synonyms: a, b, c, d."
     assert n.select(prompts.tagged_text("id", "name", "syn", "d")).first()[0] == "[HPO_ID] HP:1\n[NAME] Name\n[SYN] a; b; c"
+    m = spark.createDataFrame([("HP:1", None, ["a"], None, "model", "more"), ("HP:2", "N", None, "d", "d", " ")], "id string, name string, syn array<string>, d string, m string, e string").orderBy("id")
+    tagged = lambda most: [r[0] for r in m.select(prompts.tagged_text("id", "name", "syn", "d", "e", most, "m")).collect()]
+    assert tagged(3) == ["[HPO_ID] HP:1\n[NAME] HP:1\n[SYN] a\n[LLM_DEF] model\n[ADD_DEF] more", "[HPO_ID] HP:2\n[NAME] N\n[DEF] d"]
+    assert tagged(None)[1] == "[HPO_ID] HP:2\n[NAME] N\n[DEF] d"
+    r = n.select(prompts.prompt_info(F.create_map(F.lit("label"), F.array("name"), F.lit("synonym"), F.col("syn")), "id").alias("x")).first()["x"]
+    assert (r["hpo_id"], r["hpo_name"], r["hpo_def"], r["hpo_synonyms"]) == ("HP:1", "Name", "", ["a", "a", "b", "c", "d"])
+    assert n.select(prompts.rerank_pair("I", "name", F.col("d"))).first()[0] == "<Instruct>: I\n<Query>: Name\n<Document>: "
+    assert tuple(n.select(prompts.name_span(F.lit("no such"), "name")).first()[0]) == (0, 7)
     assert one(spark, prompts.rendered("Q {{text}} {x}", text=F.col("t"), x=F.lit(1)), t="a") == "Q a 1"
     assert one(spark, prompts.rendered("Q", text=F.col("t")), t="a") == "Q\na"
 
