@@ -42,9 +42,9 @@ PART, WHOLE = 4, 5
 #: Slips by which mentions may differ.
 SLIPS = 2
 #: Evaluation classes of a shard and training classes of a block.
-SHARD, BLOCK = 20_000, 10_000
+SHARD, BLOCK = 20_000, 5_000
 #: Places, bytes and pairs worked on at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
 #: Classes of words whose numbers bound the words that two texts have in common.
 BAG = 64
 
@@ -229,6 +229,7 @@ class Matcher:
 
     def __init__(self, index: TextIndex):
         self.index = index
+        self.lengths = index.lengths.astype(np.int32)
         self.bags = _bags(index.text, np.repeat(np.arange(index.docs), index.lengths), index.docs)
 
     def pairs(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,21 +285,26 @@ class Matcher:
 
     def _alike(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bags: np.ndarray, text: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         index = self.index
-        rows = repeated(lo, hi - lo)
-        t, at = np.repeat(text, hi - lo), np.repeat(at, hi - lo)
-        e, place = index.owner[rows].astype(np.int64), index.place[rows].astype(np.int64)
-        # pairs of texts of fair lengths with enough words in common at the most
+        n = hi - lo
+        rows = repeated(lo, n)
+        e, place = index.owner[rows], index.place[rows].astype(np.int32)
+        # a place counts if the lengths are fair and no more words lie before it in either text than may lack a partner
+        first, nt = np.repeat((at - starts[text]).astype(np.int32), n), np.repeat(lengths[text].astype(np.int32), n)
+        ne = self.lengths[e]
+        need = -(-PART * np.maximum(nt, ne) // WHOLE)
+        keep = np.flatnonzero((nt >= need) & (ne >= need) & (first - place <= nt - need) & (place - first <= ne - need))
+        t, e, at, place = np.repeat(text, n)[keep], e[keep].astype(np.int64), first[keep].astype(np.int64), place[keep].astype(np.int64)
+        # pairs of texts with enough words in common at the most
         pair, where = np.unique(t * index.docs + e, return_inverse=True)
         pt, pe = pair // max(index.docs, 1), pair % max(index.docs, 1)
-        longer = np.maximum(lengths[pt], index.lengths[pe])
-        need = -(-PART * longer // WHOLE)
-        fair = np.minimum(lengths[pt], index.lengths[pe]) >= need
+        need = -(-PART * np.maximum(lengths[pt], index.lengths[pe]) // WHOLE)
+        fair = np.ones(len(pair), dtype=bool)
         step = max(1, AT_ONCE // BAG)
         for a in range(0, len(pair), step):
             s = np.flatnonzero(fair[a : a + step]) + a
             fair[s] = np.minimum(bags[pt[s]], self.bags[pe[s]]).sum(axis=1, dtype=np.int64) >= need[s]
         keep = fair[where]
-        where, at, place = where[keep], at[keep] - starts[t[keep]], place[keep]
+        where, at, place = where[keep], at[keep], place[keep]
         # places of one pair on one diagonal grow to the same maximal match or to another one on it
         w, diagonal = where, at - place
         o = np.lexsort((at, diagonal, w))
@@ -483,9 +489,9 @@ def overlapping_classes(samples: DataFrame, concepts: DataFrame, shard: int = SH
     homes = max(parallelism(spark) * 2, rows.count() // (2 * block))
     alone = (F.col("es") > 1) | (F.col("tb") > 1)
     home = F.when(alone, F.pmod(F.xxhash64("concept"), F.lit(1 << 40)) + (1 << 41)).otherwise(F.pmod(F.xxhash64("concept"), F.lit(homes)))
-    plan = materialize(sizes.select("concept", es.alias("es"), tb.alias("tb")).withColumn("home", home).withColumn("alone", alone), "span-homes")
+    plan = sizes.select("concept", es.alias("es"), tb.alias("tb"), home.alias("home"))
     placed = classes.join(plan, "concept")
-    evals = placed.where("ev").withColumn("e", F.pmod(F.col("k1"), F.col("es")).cast("int")).select("home", "e", "tb", "alone", "k1", "k2", "concept", "mention", "text")
+    evals = placed.where("ev").withColumn("e", F.pmod(F.col("k1"), F.col("es")).cast("int")).select("home", "e", "tb", "k1", "k2", "concept", "mention", "text")
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"home": g["home"].iloc[:1], "e": g["e"].iloc[:1], "blocks": g["tb"].max(), "data": [Shard.of(g).to_bytes()]})
@@ -497,7 +503,7 @@ def overlapping_classes(samples: DataFrame, concepts: DataFrame, shard: int = SH
     trains = trains.select("home", "e", "b", F.lit(1).alias("kind"), "k1", "k2", "concept", "mention", "text", none("binary", "data"))
     parts = max(parallelism(spark) * 2, rows.count() // block)
     stream = heads.unionByName(trains).repartition(parts, "home", "e", "b").sortWithinPartitions("home", "e", "b", "kind", "k1", "k2")
-    pairs = materialize(stream.mapInPandas(_streamed, "t1 long, t2 long, e1 long, e2 long"), "span-pairs")
+    pairs = stream.mapInPandas(_streamed, "t1 long, t2 long, e1 long, e2 long")
     return rows.select("sample_id", "ev", "k1", "k2"), pairs
 
 
@@ -513,6 +519,7 @@ def cross_split_pairs(samples: DataFrame, concepts: DataFrame, shard: int = SHAR
 def linked(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sample_id, ev, class_id, links): each sample with the least sample of its class and side, and the number of its partners; no pair is written out."""
     sizes = members.groupBy("k1", "k2", "ev").agg(F.count("*").alias("n"), F.min("sample_id").alias("class_id"))
+    pairs = materialize(pairs, "span-pairs")  # read twice
     n = lambda ev, a, b: sizes.where(ev).select(F.col("k1").alias(a), F.col("k2").alias(b), "n")
     of_t = pairs.join(n("ev", "e1", "e2"), ["e1", "e2"]).groupBy(F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.sum("n").alias("links")).withColumn("ev", F.lit(False))
     of_e = pairs.join(n("not ev", "t1", "t2"), ["t1", "t2"]).groupBy(F.col("e1").alias("k1"), F.col("e2").alias("k2")).agg(F.sum("n").alias("links")).withColumn("ev", F.lit(True))
