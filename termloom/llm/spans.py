@@ -3,30 +3,38 @@
 A log-structured index of fingerprints.  Every batch of documents is fingerprinted
 by winnowing: of each window of consecutive k-gram hashes the smallest (leftmost)
 is kept, with k and the window chosen so that every span of ``size`` code points
-holds a kept k-gram, the same one wherever the span occurs.  The batch becomes a
-sorted immutable run; it is merge-joined with the historical runs; runs are
-compacted when there are many.  Matching fingerprints are only candidates: the
-text around them is compared window by window, so a result is exact.
-
-Groups of copies: occurrences of one fingerprint with the same surroundings are
-one row with the least and greatest document before anything is compared, and no
-pairs are made.  A fingerprint with very many different surroundings is not
-gathered; its windows are grouped one by one by the cluster instead.
+holds a kept k-gram, the same one wherever the span occurs.  The fingerprints of a
+batch become a sorted immutable run, one row for each, in a fixed number of ranges
+of hashes; a new run is merge-joined with each historical one range by range, so
+that history is neither shuffled nor sorted again.  As soon as ``fan_in`` runs of
+one level exist they are merged into one of the next, so that a fingerprint is
+written once for each level.  Matching fingerprints are only candidates: the text
+around them is compared window by window, so a result is exact.
+
+Groups of copies: a run holds each fingerprint once with its least and greatest
+document; occurrences of one fingerprint with the same surroundings are one row
+before anything is compared, and no pairs are made.  A fingerprint with very many
+different surroundings is not gathered; its windows are grouped one by one by the
+cluster instead.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.splitting import limit_of
 from termloom.session import drop_path, fresh_path, materialize, parallelism, table
 
+PRINTS = "fp long, id long, pos int"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -113,51 +121,125 @@ def fingerprints(docs: DataFrame, key: str, column: str, size: int) -> DataFrame
             if ids:
                 yield out(ids, texts)
 
-    return long.mapInArrow(run, "fp long, id long, pos int")
+    return long.mapInArrow(run, PRINTS)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the shared folder.
+    """Sorted immutable runs of fingerprints in a folder that all executors share.
 
     ``add`` turns a batch into a run and returns the fingerprints that the batch
-    shares with another document, in the batch or in history.  When more than
-    ``fan_in`` runs exist they are compacted into one.
+    shares with another document, in the batch or in history.  A run is (fp, lo,
+    hi), in ``buckets`` files, each sorted.  What is where stands in a manifest, so
+    that another session can open the index and go on.
     """
 
-    def __init__(self, spark: SparkSession, fan_in: int = 4):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
-        self.parts = parallelism(spark)
-
-    def _write(self, df: DataFrame) -> str:
-        path = fresh_path(self.spark, "fingerprint-run")
-        df.repartition(self.parts, "fp").sortWithinPartitions("fp").write.parquet(path)
-        return path
-
-    def _read(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema("fp long, id long, pos int").parquet(*paths)
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4, buckets: int | None = None):
+        self.spark, self.path = spark, path or fresh_path(spark, "fingerprint-index")
+        #: (level, name) of each run, and the folders of fingerprints with their places
+        self.runs: list[tuple[int, str]] = []
+        self.postings: list[str] = []
+        self.fan_in, self.buckets, self.made = max(2, fan_in), buckets or parallelism(spark), 0
+        state = self._manifest()
+        if state:
+            self.fan_in, self.buckets, self.made, self.postings = state["fan_in"], state["buckets"], state["made"], state["postings"]
+            self.runs = [(level, name) for level, name in state["runs"]]
+
+    def _manifest(self) -> dict | None:
+        """The state that was saved last; each is a file of its own, so that a crash leaves the one before."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
+            return None
+        last = max((str(f.getPath()) for f in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{f.getPath()}/_SUCCESS"))), default=None)
+        return json.loads(self.spark.read.text(last).first()[0]) if last else None
+
+    def _save(self) -> None:
+        self.made += 1
+        state = json.dumps({"fan_in": self.fan_in, "buckets": self.buckets, "made": self.made, "postings": self.postings, "runs": self.runs})
+        self.spark.range(1).select(F.lit(state).alias("value")).coalesce(1).write.text(f"{self.path}/manifest/{self.made:08d}")
+
+    def _write(self, heads: DataFrame, level: int, placed: bool = False) -> None:
+        """Write a run; ``placed`` tells that each task has the rows of one range already."""
+        name = f"run_{self.made}_{len(self.runs)}_{level}"
+        table = self._name(name)
+        self.spark.sql(f"drop table if exists {table}")
+        rows = heads if placed else heads.repartition(self.buckets, "fp")
+        rows.sortWithinPartitions("fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").mode("overwrite").saveAsTable(table)
+        self.runs.append((level, name))
+
+    def _name(self, name: str) -> str:
+        return f"termloom_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{name}"
+
+    def run(self, name: str) -> DataFrame:
+        """A run as its ranges, whose places and order the planner knows."""
+        table = self._name(name)
+        if not self.spark.catalog.tableExists(table):
+            self.spark.sql(f"create table {table} (fp bigint, lo bigint, hi bigint) using parquet clustered by (fp) sorted by (fp) into {self.buckets} buckets location '{self.path}/{name}'")
+        return self.spark.table(table)
 
     def entries(self) -> DataFrame:
-        return self._read(*self.runs)
-
-    def add(self, prints: DataFrame) -> DataFrame:
-        path = self._write(prints)
-        span = [F.min("id").alias("lo"), F.max("id").alias("hi")]
-        new = self._read(path).groupBy("fp").agg(*span)
+        """(fp, id, pos) of all batches."""
+        return self.spark.read.schema(PRINTS).parquet(*self.postings)
+
+    def joined(self, new: DataFrame, history: list[str]) -> DataFrame:
+        """Fingerprints of the new run that another document of a historical one has."""
+        out = None
+        for name in history:
+            old = self.run(name).select("fp", F.col("lo").alias("l"), F.col("hi").alias("h"))
+            hit = new.hint("merge").join(old, "fp").where("l <> lo or h <> hi or lo <> hi").select("fp")
+            out = hit if out is None else out.unionByName(hit)
+        return out
+
+    def add(self, prints: DataFrame, stored: str | None = None) -> DataFrame:
+        """(fp): what the batch (fp, id, pos) shares; ``stored`` is the folder where its rows are already written."""
+        if stored is None:
+            stored = f"{self.path}/postings_{self.made}"
+            prints.select("fp", "id", "pos").write.mode("overwrite").parquet(stored)
+        self.postings.append(stored)
+        history = [name for _, name in self.runs]
+        heads = self.spark.read.schema(PRINTS).parquet(stored).groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        self._write(heads, 0)
+        new = self.run(self.runs[-1][1])
         hits = new.where("lo <> hi").select("fp")
-        if self.runs:
-            old = self.entries().select("fp", F.col("id").alias("old_id"))
-            hits = hits.unionByName(new.join(old, "fp").where("old_id <> lo or old_id <> hi").select("fp"))
-        hits = materialize(hits.distinct(), "fingerprint-hits")
-        self.runs.append(path)
-        if len(self.runs) > self.fan_in:
-            self.compact()
+        with ordered_buckets(self.spark):
+            hits = materialize(hits.unionByName(self.joined(new, history)).distinct() if history else hits, "fingerprint-hits")
+        self.compact()
+        self._save()
         return hits
 
     def compact(self) -> None:
-        merged = self._write(self.entries())
-        for p in self.runs:
-            drop_path(self.spark, p)
-        self.runs = [merged]
+        """Merge the runs of a level into one of the next wherever there are ``fan_in`` of them."""
+        level = 0
+        while any(x >= level for x, _ in self.runs):
+            same = [name for x, name in self.runs if x == level]
+            if len(same) >= self.fan_in:
+                if len(same) == 2:
+                    # both are in order range by range
+                    a, b = (self.run(name).select(F.col("fp").alias(f"fp{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i, name in enumerate(same))
+                    both = a.hint("merge").join(b, F.col("fp0") == F.col("fp1"), "full_outer")
+                    with ordered_buckets(self.spark):
+                        self._write(both.select(F.coalesce("fp0", "fp1").alias("fp"), F.least("lo0", "lo1").alias("lo"), F.greatest("hi0", "hi1").alias("hi")), level + 1, placed=True)
+                else:
+                    rows = self.spark.read.schema("fp long, lo long, hi long").parquet(*[f"{self.path}/{name}" for name in same])
+                    self._write(rows.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), level + 1)
+                self.runs = [(x, name) for x, name in self.runs if name not in same]
+                for name in same:
+                    self.spark.sql(f"drop table if exists {self._name(name)}")
+                    drop_path(self.spark, f"{self.path}/{name}")
+            level += 1
+
+
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Scans of one sorted file for each bucket count as sorted."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _surroundings(docs: DataFrame, key: str, column: str, hits: DataFrame, size: int) -> DataFrame:
@@ -273,28 +355,37 @@ def _slices(fp: np.ndarray, most: int = 20_000) -> Iterator[slice]:
 
 def merged_intervals(df: DataFrame, key: str) -> DataFrame:
     """Intervals (c0, c1) of each key united where they overlap or touch."""
-    joined = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("c0", "c1"))),
-        F.expr("cast(array() as array<struct<c0:int,c1:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["c1"] >= x["c0"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["c0"].alias("c0"), F.greatest(F.element_at(acc, -1)["c1"], x["c1"]).alias("c1"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return df.groupBy(key).agg(joined.alias("iv")).select(key, F.explode("iv").alias("i")).select(key, "i.c0", "i.c1")
+    w = Window.partitionBy(key).orderBy("c0", "c1")
+    before = F.max("c1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = df.select(key, "c0", "c1", F.coalesce((before < F.col("c0")).cast("int"), F.lit(1)).alias("_n"))
+    group = new.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return group.groupBy(key, "_g").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).drop("_g")
+
+
+#: Deliveries that the queries take the documents in, and runs of a level that are merged: two of them make a compaction.
+BATCHES, FAN_IN = 3, 2
 
 
-def shared_spans(docs: DataFrame, key: str, column: str, size: int, batches: int = 2, fan_in: int = 4) -> DataFrame:
+def shared_spans(docs: DataFrame, key: str, column: str, size: int, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """(key, c0, c1): the stretches of each text covered by spans of at least ``size`` that another record has verbatim.
 
-    The records go through the index in ``batches``, as deliveries would.  Null
-    keys and texts and texts shorter than ``size`` have no row.  Rows of one key
-    count as one record.  A key must be a whole number.
+    The texts are fingerprinted once and go through the index in ``batches``, as
+    deliveries would.  Null keys and texts and texts shorter than ``size`` have no
+    row.  Rows of one key count as one record.  A key must be a whole number.
     """
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, fan_in)
+    at = fresh_path(spark, "fingerprints")
+    fingerprints(docs, key, column, size).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(at)
+    index = FingerprintIndex(spark, fan_in=fan_in)
+    jvm = spark.sparkContext._jvm
     hits = None
     for b in range(batches):
-        batch = docs.where(F.pmod(F.xxhash64(key), F.lit(batches)) == b) if batches > 1 else docs
-        new = index.add(fingerprints(batch, key, column, size))
-        hits = new if hits is None else hits.unionByName(new)
+        part = jvm.org.apache.hadoop.fs.Path(f"{at}/batch={b}")
+        if part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(part):
+            new = index.add(spark.read.schema(PRINTS).parquet(f"{at}/batch={b}"), f"{at}/batch={b}")
+            hits = new if hits is None else hits.unionByName(new)
+    if hits is None:
+        return spark.createDataFrame([], f"`{key}` long, c0 int, c1 int")
     found = index.entries().join(hits.distinct(), "fp", "left_semi")
     around = _surroundings(docs, key, column, found, size).withColumn("ck", F.xxhash64("around"))
     around = materialize(around, "span-surroundings")

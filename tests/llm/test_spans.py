@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from termloom.llm import spans
 
@@ -40,7 +41,7 @@ def corpus(seed, n=60):
 
 
 def test_against_brute_force(spark):
-    for seed, batches, fan_in, crowd in ((1, 1, 4, 4096), (2, 3, 1, 4096), (3, 2, 4, 2)):
+    for seed, batches, fan_in, crowd in ((1, 1, 4, 4096), (2, 5, 2, 4096), (3, 2, 4, 2)):
         spans.MOST_TOGETHER = crowd
         docs = corpus(seed)
         df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, fp string")
@@ -57,6 +58,36 @@ def test_many_copies_and_empty(spark):
     assert spans.shared_spans(df.limit(0), "doc_id", "text", 20).count() == 0
 
 
+@pytest.mark.parametrize("fan_in", [2, 4])
+def test_index_is_kept_and_opened_again(spark, tmp_path, fan_in):
+    rng = random.Random(3)
+    batches = [[(rng.randint(1, 40), 100 * b + rng.randint(0, 9), 0) for _ in range(30)] for b in range(5)]
+    path = f"file://{tmp_path}/index"
+    seen = {}
+    for b, rows in enumerate(batches):
+        index = spans.FingerprintIndex(spark, path, fan_in=fan_in, buckets=3)  # each delivery by another session
+        for _, name in index.runs:
+            spark.sql(f"drop table if exists {index._name(name)}")
+        got = {r["fp"] for r in index.add(spark.createDataFrame(rows, spans.PRINTS)).collect()}
+        for fp, i, _ in rows:
+            seen.setdefault(fp, set()).add(i)
+        assert got == {fp for fp, _, _ in rows if len(seen[fp]) > 1}, b
+    index = spans.FingerprintIndex(spark, path)
+    assert sorted(level for level, _ in index.runs) == [0, 2 if fan_in == 2 else 1] and index.buckets == 3  # five batches: one run of four, one of one
+    assert index.entries().count() == 150
+    old = {}
+    for rows in batches[:4]:
+        for fp, i, _ in rows:
+            old.setdefault(fp, []).append(i)
+    merged = max(index.runs)[1]
+    assert sorted(map(tuple, index.run(merged).collect())) == sorted((fp, min(x), max(x)) for fp, x in old.items())
+    assert len(list((tmp_path / "index" / merged).glob("*.parquet"))) == 3
+    # history is neither shuffled nor sorted again
+    with spans.ordered_buckets(spark):
+        plan = index.joined(index.run(min(index.runs)[1]), [merged])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
 def test_winnowing_reaches_every_span():
     rng = random.Random(7)
     k, w = 10, 11
