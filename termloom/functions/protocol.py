@@ -115,17 +115,20 @@ def parse_json_hints(c: ColumnOrName) -> Column:
 def bioes_spans(labels: Column) -> Column:
     """array<struct(i0, i1)>: inclusive token spans.  S stands alone, B opens, E closes what is open, O closes nothing and resets, I changes nothing."""
     kind = "array<struct<i0:int,i1:int>>"
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.expr(f"cast(array() as {kind})").alias("out"))
+    start = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("open"), F.expr(f"cast(array() as {kind})").alias("out"))
+    # O, the most frequent, is left out: a gap between two others resets
+    first = lambda x: F.upper(F.substring(x, 1, 1))
+    marks = F.filter(F.transform(labels, lambda x, i: F.when(~x.startswith("O"), F.struct(i.alias("i"), first(x).alias("k")))), lambda x: x.isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
-        k = F.upper(F.substring(x, 1, 1))
-        single = F.struct(acc["i"].alias("i0"), acc["i"].alias("i1"))
-        closed = F.struct(acc["open"].alias("i0"), acc["i"].alias("i1"))
-        out = F.when(k == "S", F.array_append(acc["out"], single)).when((k == "E") & (acc["open"] >= 0), F.array_append(acc["out"], closed)).otherwise(acc["out"])
-        opened = F.when(k == "B", acc["i"]).when(k == "I", acc["open"]).otherwise(-1)
-        return F.struct((acc["i"] + 1).alias("i"), opened.alias("open"), out.alias("out"))
-
-    return F.aggregate(labels, start, step, lambda acc: acc["out"])
+        was = F.when(x["i"] == acc["i"] + 1, acc["open"]).otherwise(-1)
+        single = F.struct(x["i"].alias("i0"), x["i"].alias("i1"))
+        closed = F.struct(was.alias("i0"), x["i"].alias("i1"))
+        out = F.when(x["k"] == "S", F.array_append(acc["out"], single)).when((x["k"] == "E") & (was >= 0), F.array_append(acc["out"], closed)).otherwise(acc["out"])
+        opened = F.when(x["k"] == "B", x["i"]).when(x["k"] == "I", was).otherwise(-1)
+        return F.struct(x["i"].alias("i"), opened.alias("open"), out.alias("out"))
+
+    return F.aggregate(marks, start, step, lambda acc: acc["out"])
 
 
 def token_span(offsets: Column, i0: Column, i1: Column) -> Column:

@@ -6,6 +6,8 @@ half-open.  Null text gives null unless stated otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,31 +80,52 @@ PIECES = r"[^。！？；!?;\n.]+[。！？；!?;.]?|\n+|[。！？；!?;.]"
 PRESENT = ("present", "pos", "positive", "yes", "y")
 ABSENT = ("absent", "neg", "negative", "no", "n", "denied", "without", "not_present")
 
-#: Pieces that are placed together: an array grows by copying, so that a long one is put together from short ones.
-TOGETHER = 512
+#: Numbers that are summed together, at least: what an aggregate gathers is copied at each step.
+TOGETHER = 16
 
+INTS = "cast(array() as array<int>)"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; unlike the elements of a transform, neither it nor the result is copied."""
+    return F.aggregate(F.expr(INTS), value, lambda acc, _: acc, use)
 
-def placed(parts: Column) -> Column:
-    """array<struct<src, c0, c1>>: consecutive pieces of a text with their places, in time that grows with their number."""
-    # bound to a name of a lambda, so that it is computed once
-    return F.get(F.transform(F.array(parts), _placed), F.lit(0))
 
+def _sums(parts: Column, size: Callable[[Column], Column]) -> Column:
+    """array<int>: running sums of sizes."""
+    return F.aggregate(parts, F.expr(INTS), lambda acc, x: F.array_append(acc, size(x) + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))
 
-def _placed(parts: Column) -> Column:
-    kind = "array<struct<src:string,c0:int,c1:int>>"
-    empty, many = F.expr(f"cast(array() as {kind})"), F.expr(f"cast(array() as array<{kind}>)")
 
-    def one(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(x.alias("src"), acc["at"].alias("c0"), end.alias("c1"))).alias("out"))
+def ends(parts: Column) -> Column:
+    """array<int>: where each of consecutive pieces of a text ends, null if there is none.
+
+    Only numbers are gathered, in blocks of the root of their number, then each
+    block is moved by the sum of those before it.
+    """
+
+    def of(parts: Column) -> Column:
+        n = F.size(parts)
+        return F.when(n > 0, bound(F.greatest(F.lit(TOGETHER), F.ceil(F.sqrt(n)).cast("int")), lambda size: bound(blocks(parts, size), moved)))
+
+    def blocks(parts: Column, size: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / size).cast("int"))
+        return F.transform(numbers, lambda k: _sums(F.slice(parts, k * size + 1, size), F.length))
+
+    def moved(blocks: Column) -> Column:
+        totals = _sums(blocks, lambda b: F.try_element_at(b, F.lit(-1)))
+        move = lambda t: F.transform(blocks, lambda b, k: F.transform(b, lambda x: x + F.coalesce(F.get(t, k - 1), F.lit(0))))
+        return F.flatten(bound(totals, move))
+
+    return bound(parts, of)
+
+
+def placed(parts: Column) -> Column:
+    """array<struct<src, c0, c1>>: consecutive pieces of a text with their places."""
 
-    def block(acc: Column, i: Column) -> Column:
-        some = F.slice(parts, i * TOGETHER + 1, TOGETHER)
-        here = F.aggregate(some, F.struct(acc["at"].alias("at"), empty.alias("out")), one, lambda a: a["out"])
-        return F.struct(F.aggregate(some, acc["at"], lambda n, x: n + F.length(x)).alias("at"), F.array_append(acc["out"], here).alias("out"))
+    def place(parts: Column, end: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(x.alias("src"), (F.get(end, i) - F.length(x)).alias("c0"), F.get(end, i).alias("c1")))
 
-    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(parts), F.lit(1)) - 1) / TOGETHER).cast("int"))
-    return F.when(parts.isNotNull(), F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), many.alias("out")), block, lambda a: a["out"])))
+    return bound(parts, lambda p: bound(ends(p), lambda e: place(p, e)))
 
 
 def simple_sentences(c: ColumnOrName) -> Column:

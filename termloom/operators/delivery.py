@@ -21,6 +21,13 @@ def latest(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     return kept.select(key, *[F.col("_v")[c].alias(c) for c in names])
 
 
+def latest_value(df: DataFrame, key: str, order: str, value: Column, *columns: str) -> DataFrame:
+    """(key, value): a value of the row that ``latest`` keeps of these columns, made before the shuffle, which has no wide columns then."""
+    rank = F.struct(F.col(order).alias("_o"), F.xxhash64(*[F.col(c) for c in columns]).alias("_h"))
+    named = df.where(F.col(key).isNotNull()).select(key, rank.alias("_r"), value.alias("_v"))
+    return named.groupBy(key).agg(F.max_by("_v", "_r").alias("value"))
+
+
 def latest_wide(df: DataFrame, key: str, order: str, keep: Column, *columns: str) -> DataFrame:
     """As ``latest``, then ``keep`` as a filter, for a filter that few wide rows pass.
 

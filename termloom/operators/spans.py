@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.text import clamp, placed
+from termloom.functions.text import bound, clamp, ends
+
+#: Pieces that tile a text: white space and the token after it; the last has no token.
+TOKEN = r"(?U)\s*+(\w++|[^\w\s]|\z)"
 
 
 def tokens(text: Column) -> Column:
@@ -13,9 +16,13 @@ def tokens(text: Column) -> Column:
 
     Text and tokens are walked together: what stands between two tokens is white space.
     """
-    pieces = placed(F.regexp_extract_all(text, F.lit(r"(?U)\s+|\w+|[^\w\s]"), F.lit(0)))
-    kept = F.filter(pieces, lambda x: ~x["src"].rlike(r"(?U)^\s"))
-    return F.transform(kept, lambda x: F.struct(x["src"].alias("token"), x["c0"].alias("c0"), x["c1"].alias("c1")))
+
+    def place(x: Column) -> Column:
+        token = lambda t, i: F.struct(t.alias("token"), (F.get(x["ends"], i) - F.length(t)).alias("c0"), F.get(x["ends"], i).alias("c1"))
+        return F.filter(F.transform(x["tokens"], token), lambda t: t["c1"] > t["c0"])
+
+    found = lambda group: F.regexp_extract_all(text, F.lit(TOKEN), F.lit(group))
+    return bound(F.struct(found(1).alias("tokens"), ends(found(0)).alias("ends")), place)
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -31,15 +38,20 @@ def token_range(offsets: Column, c0: Column, c1: Column) -> Column:
 
 def bioes_labels(offsets: Column, spans: Column, kind: str = "PHENO") -> Column:
     """One label for each token; a later span overwrites an earlier one."""
+    over = lambda t, s: overlaps(t["c0"], t["c1"], s["c0"], s["c1"])
 
-    def label(t: Column, i: Column) -> Column:
-        hit = F.try_element_at(F.filter(spans, lambda s: overlaps(t["c0"], t["c1"], s["c0"], s["c1"])), F.lit(-1))
-        inside = lambda n: F.coalesce(overlaps(n["c0"], n["c1"], hit["c0"], hit["c1"]), F.lit(False))
+    def inside(offsets: Column, i: Column, hit: Column) -> Column:
         # the tokens that a span overlaps are neighbours
-        before, after = inside(F.get(offsets, i - 1)), inside(F.get(offsets, i + 1))
-        return F.when(hit.isNull(), "O").when(before & after, f"I-{kind}").when(before, f"E-{kind}").when(after, f"B-{kind}").otherwise(f"S-{kind}")
+        before, after = (F.coalesce(over(F.get(offsets, j), hit), F.lit(False)) for j in (i - 1, i + 1))
+        return F.when(before & after, f"I-{kind}").when(before, f"E-{kind}").when(after, f"B-{kind}").otherwise(f"S-{kind}")
+
+    def label(offsets: Column, spans: Column, t: Column, i: Column) -> Column:
+        last = F.try_element_at(F.filter(spans, lambda s: over(t, s)), F.lit(-1))
+        # most tokens are in no span: they are looked at once
+        return F.when(F.exists(spans, lambda s: over(t, s)), bound(last, lambda hit: inside(offsets, i, hit))).otherwise("O")
 
-    return F.when(F.size(F.coalesce(spans, F.expr("array()"))) > 0, F.transform(offsets, label)).otherwise(F.transform(offsets, lambda t: F.lit("O")))
+    some = lambda o: bound(spans, lambda s: F.transform(o, lambda t, i: label(o, s, t, i)))
+    return bound(offsets, lambda o: F.when(F.size(F.coalesce(spans, F.expr("array()"))) > 0, some(o)).otherwise(F.transform(o, lambda t: F.lit("O"))))
 
 
 def inclusive_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import protocol, text
 from termloom.operators import chunking, sampling, spans
-from termloom.operators.delivery import latest
+from termloom.operators.delivery import latest, latest_value
 from termloom.operators.metrics import set_prf
 from termloom.plans.registry import HINTS, REQUESTS, SAMPLES, query, sql_id, sql_norm, sql_polarity, sql_strip, with_parts
 from termloom.session import table
@@ -89,11 +89,17 @@ TOKENS = (
     with_parts(SAMPLES, *TOKENS) + "SELECT sample_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(min(k) FILTER (b > c0 AND a < c1) AS INTEGER) AS i0, CAST(max(k) FILTER (b > c0 AND a < c1) AS INTEGER) AS i1, CAST(min(a) FILTER (b > c0 AND a < c1) AS INTEGER) AS c0, CAST(max(b) FILTER (b > c0 AND a < c1) AS INTEGER) AS c1 FROM t JOIN x USING (sample_id) GROUP BY sample_id",
 )
 def bioes_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    s = latest(table(spark, d, "samples"), "sample_id", "loaded_at", "context", "c0", "c1").where("context is not null and c1 > c0")
-    t = s.withColumn("t", spans.tokens(F.col("context"))).where("size(t) > 0").withColumn("l", spans.bioes_labels(F.col("t"), F.array(F.struct("c0", "c1"))))
-    p = t.select("sample_id", "t", F.size("t").alias("n_tokens"), F.explode_outer(protocol.bioes_spans(F.col("l"))).alias("s"))
-    c = protocol.token_span(F.col("t"), F.col("s.i0"), F.col("s.i1"))
-    return p.select("sample_id", "n_tokens", "s.i0", "s.i1", c["c0"].alias("c0"), c["c1"].alias("c1"))
+    def trip(t: Column) -> Column:
+        place = lambda s: protocol.token_span(t, s["i0"], s["i1"])
+        back = lambda s: F.struct(s["i0"].alias("i0"), s["i1"].alias("i1"), place(s)["c0"].alias("c0"), place(s)["c1"].alias("c1"))
+        found = protocol.bioes_spans(spans.bioes_labels(t, F.array(F.struct("c0", "c1"))))
+        return F.struct(F.size(t).alias("n_tokens"), F.transform(found, back).alias("spans"))
+
+    # the trip is made before the latest delivery is chosen, so that no context is shuffled
+    value = F.when(F.expr("context is not null and c1 > c0"), text.bound(spans.tokens(F.col("context")), trip))
+    s = latest_value(table(spark, d, "samples"), "sample_id", "loaded_at", value, "context", "c0", "c1").where("value.n_tokens > 0")
+    p = s.select("sample_id", "value.n_tokens", F.explode_outer("value.spans").alias("s"))
+    return p.select("sample_id", "n_tokens", "s.i0", "s.i1", "s.c0", "s.c1")
 
 
 @query("polarity_policies", with_parts(HINTS, f"p AS (SELECT {sql_polarity('polarity')} AS polarity FROM h)") + "SELECT polarity, count(*) AS n, count(*) FILTER (polarity = 'present') AS kept_present, count(*) FILTER (polarity <> 'absent') AS kept_not_absent FROM p GROUP BY polarity")

@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
+from datetime import datetime
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from termloom.functions import prompts, protocol, text, vectors
 from termloom.operators import chunking, spans
+from termloom.plans import q_text
 
 
 def one(spark, column, **values):
@@ -132,6 +135,36 @@ def test_bioes(spark):
     assert (r["i0"], r["i1"]) == (1, 2)
 
 
+def test_bioes_round_trip(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [
+        (1, "old", 0, 3, at(1)), (1, "An old, very old tree.", 8, 16, at(2)),  # the later delivery
+        (2, "old", 0, 3, at(1)), (2, None, 0, 3, at(2)),  # its text is gone
+        (3, "a  b", 1, 2, at(1)), (4, " \n ", 0, 1, at(1)), (5, "a", 1, 1, at(1)), (6, "a", None, 1, at(1)), (None, "a", 0, 1, at(1)),
+        (7, "x " * 5000, 9000, 9003, at(1)),
+    ]
+    spark.createDataFrame(rows, "sample_id long, context string, c0 int, c1 int, loaded_at timestamp").write.parquet(f"{tmp_path}/samples.parquet")
+    df = q_text.bioes_round_trip(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 7, 3, 4, 8, 16), (3, 2, None, None, None, None), (7, 5000, 4500, 4501, 9000, 9003)]
+    above, below = df._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
+    assert "regexp_extract_all" in below and "regexp_extract_all" not in above and "context" not in above  # texts are not shuffled
+
+
+def test_tokens_take_little_more_than_their_pattern(spark):
+    d = spark.range(8000).select(F.concat(F.repeat(F.lit("An old, very old tree fell. "), 20), F.col("id").cast("string")).alias("t")).localCheckpoint()
+
+    def seconds(c):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            d.select(c).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    # pieces that are gathered in an aggregate are copied at each step: over thirty times as long
+    assert seconds(F.size(spans.tokens(F.col("t")))) < 12 * seconds(F.size(F.regexp_extract_all("t", F.lit(r"(?U)\s+|\w+|[^\w\s]"), F.lit(0))))
+
+
 def test_prompts(spark):
     n = spark.createDataFrame([("HP:1", "Name", ["a", "a", " ", "b", "c", "d"], None)], "id string, name string, syn array<string>, d string")
     assert n.select(prompts.gold_text("name", "d", "syn")).first()[0] == "Name. Synonyms: a, b, c, d."
